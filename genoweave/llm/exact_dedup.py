@@ -32,7 +32,8 @@ def text_digest(text: str = "text") -> F.Column:
 def frequent(rows: DataFrame, key: str, top: int = TOP, tracked: int = TRACKED) -> DataFrame:
     """The keys that a Misra-Gries summary of all rows holds as most frequent: one column, at most ``top`` rows."""
     parts = rows.groupBy((F.spark_partition_id() % FAN_IN).alias("g")).agg(F.expr(f"approx_top_k_accumulate(hex({key}), {tracked})").alias("s"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.count("*").alias("n")).where("n > 0")
+    # grouped by a constant: a partition without summaries then gives none, where a global one would give a void summary
+    whole = parts.groupBy(F.lit("all").alias("g")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
     return whole.select(F.explode(F.expr(f"approx_top_k_estimate(s, {top})")).alias("i")).select(F.unhex("i.item").alias(key))
 
 
