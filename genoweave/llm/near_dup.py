@@ -6,7 +6,7 @@ document find every pair under the threshold. A pair of similarity 0.85 differs
 
 Texts with equal shingle sets are one class first. A bucket of the index never emits all its pairs: its classes are
 compared with one hub (then, where that didn't join them, with the class that most hubs were linked to), and only classes
-that are still in different components are compared with one another. Every candidate pair is confirmed on the full
+that are still in different components, and share one of their rarest shingles (prefix filter), are compared with one another. Every candidate pair is confirmed on the full
 sets of 64-bit shingle hashes. Buckets are aggregated and joined, so a hot bucket is combined map-side and can be split.
 
 Defined results: null and empty texts, or texts without words, have no shingles and are linked with nothing; a text of fewer
@@ -122,7 +122,7 @@ class Finder:
         classes = self.rows.where("n > 0").groupBy("d0", "d1", "n", *_CHUNK_COLUMNS).agg(F.min("doc_id").alias("first_id"))
         self.classes = materialize(classes.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
         keys = self.classes.select("nid", F.explode(index_keys()).alias("key"))
-        shared = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+        shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         #: Members of the buckets that hold more than one class.
         self.members = materialize(keys.join(shared, "key"), "near-members")
         self.links: DataFrame | None = None
@@ -138,17 +138,21 @@ class Finder:
         both = pairs.join(own.alias("l"), F.col("a") == F.col("l.nid")).join(own.alias("r"), F.col("b") == F.col("r.nid"))
         return both.where(possible("l", "r", self.similarity)).select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
 
-    def confirm(self, candidates: DataFrame) -> DataFrame:
-        """Links among the candidate pairs, by the sizes of intersection and union of full sets."""
-        pairs = materialize(candidates, "near-pairs")
-        nodes = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """nodes(nid) -> (nid, shingles): the full sets, built from the whole text of one document of each class."""
         wanted = materialize(self.classes.join(nodes, "nid", "left_semi").select("nid", "d0", "d1", F.col("first_id").alias("doc_id")), "near-wanted")
         ids = wanted.select("doc_id").distinct()
         ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
         whole = self.docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
         # rows of a repeated doc_id may have other texts; the digest tells which are meant
         sets = shingle_sets(whole, self.width).join(wanted.select("nid", "d0", "d1"), ["d0", "d1"]).dropDuplicates(["nid"])
-        sets = materialize(sets.select("nid", "shingles"), "near-sets")
+        return materialize(sets.select("nid", "shingles"), "near-sets")
+
+    def confirm(self, candidates: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Links among the candidate pairs, by the sizes of intersection and union of full sets."""
+        pairs = materialize(candidates, "near-pairs")
+        if sets is None:
+            sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
         left = pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a")
         both = left.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -157,6 +161,17 @@ class Finder:
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
         return materialize(found.select("a", "b"), "near-links")
 
+    def prefixes(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rarest shingles of each set, of which two sets of the wanted similarity share one, with their places.
+
+        Any one order of all shingles will do; shingles that no other of these sets has can't be shared.
+        """
+        tokens = sets.select("nid", F.explode("shingles").alias("s"))
+        known = tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+        place = F.row_number().over(Window.partitionBy("nid").orderBy(F.coalesce("f", F.lit(1)), "s"))
+        ranked = tokens.join(known, "s", "left").withColumn("p", place).where("f > 1")
+        return ranked.join(nodes, "nid").where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * self.similarity / 100) + 1)
+
     def add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = materialize(connected_components(self.links, "near-cc"), "near-labels")
@@ -170,7 +185,12 @@ class Finder:
 
     def run(self) -> DataFrame:
         """(nid, label) of the classes that have links."""
-        self.add(self.confirm(self.pairs(self.members.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")))))
+        # first hub: the class that shares most keys with most others, so the text that copies stem from rather than a copy
+        central = self.members.groupBy("nid").agg(F.sum("size").alias("score"))
+        rows = self.members.join(central, "nid").select("key", "nid", "score")
+        hubs = rows.groupBy("key").agg(F.max(F.struct("score", (-F.col("nid")).alias("m"))).alias("h"))
+        rows = rows.join(hubs, "key").select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")).where("a <> b")
+        self.add(self.confirm(self.pairs(rows)))
         # second hub: the class with the most links so far
         rows = self.open_members()
         degree = self.links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
@@ -178,12 +198,17 @@ class Finder:
         hubs = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("nid")).alias("m"), "label")).alias("h"))
         rows = rows.join(hubs, "key").where(F.col("label") != F.col("h.label"))
         self.add(self.confirm(self.pairs(rows.select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")))))
-        # the rest: every pair of classes that share a key and are in different components
+        # the rest: pairs under the signature threshold in different components; two sets of the wanted similarity
+        # share one of their rarest shingles, at places that leave room for enough others
         own = self.classes.select("nid", "n", *_CHUNK_COLUMNS)
-        rows = self.open_members().join(own, "nid")
-        apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & possible("l", "r", self.similarity)
+        nodes = materialize(self.open_members().select("nid", "label").distinct().join(own, "nid"), "near-nodes")
+        sets = self.sets_of(nodes.select("nid"))
+        rows = materialize(self.prefixes(sets, nodes), "near-prefixes")
+        room = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) + 1
+        enough = room * (100 + self.similarity) >= (F.col("l.n") + F.col("r.n")) * self.similarity
+        apart = (F.col("l.s") == F.col("r.s")) & (F.col("l.label") < F.col("r.label")) & enough & possible("l", "r", self.similarity)
         rest = rows.alias("l").join(rows.alias("r"), apart).select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))
-        self.add(self.confirm(self.pairs(rest)))
+        self.add(self.confirm(self.pairs(rest), sets))
         return self.labels
 
 
