@@ -5,19 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, secrets, tiff, url_filter
+from . import chat, exact_dedup, mixing, near_dup, packing, quality, secrets, substrings, tiff, url_filter
 from .common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(read(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", "n_removed", "removed_chars", spans.alias("spans"), "text")
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,6 +53,31 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+_SAID = "'<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10)"
+OP3_SQL = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(lower(trim(role)), 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+turns AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, ',') OVER (w ROWS UNBOUNDED PRECEDING)) AS h
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+ends AS (SELECT conv_id, n, h FROM turns WHERE pos = n AND (n, h) NOT IN (SELECT (pos, h) FROM turns WHERE pos < n)),
+kept AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_equal FROM ends GROUP BY n, h)
+SELECT conv_id, (pos - 1) // {chat.BLOCK} AS part, n_turns, n_equal, string_agg({_SAID}, '' ORDER BY pos) AS text
+FROM turns JOIN kept USING (conv_id) GROUP BY ALL
+"""
+
+_BLANK = "[\\x20\\x09-\\x0D]"
+OP6_SQL = f"""
+WITH lines AS (SELECT doc_id, place, line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS place)),
+placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS s,
+    translate(regexp_replace(regexp_replace(line, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form FROM lines),
+marked AS (SELECT *, form <> '' AND length(form) - length(replace(form, ' ', '')) + 1 >= {substrings.MIN_WORDS} AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS FIRST, place) > 1 AS lost FROM placed),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lost ORDER BY place) AS k FROM marked)
+SELECT d.doc_id, count(*) FILTER (lost) AS n_removed, coalesce(sum(length(line)) FILTER (lost), 0)::BIGINT AS removed_chars,
+  coalesce(string_agg(s::BIGINT || ':' || (s + length(line))::BIGINT, ',' ORDER BY place) FILTER (lost), '') AS spans,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '') END AS text
+FROM documents d JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
@@ -131,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_chat_format": OP3_SQL, "op6_line_dedup": OP6_SQL, "op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_source_mix": OP10_SQL}
