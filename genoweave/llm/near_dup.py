@@ -29,6 +29,8 @@ from .components import connected_components
 CHUNKS, IN_CHUNK, BITS, MAX_ERRORS = 6, 4, 14, 11
 SYMBOLS = CHUNKS * IN_CHUNK
 LANE = BITS + 1
+#: Shingles by which a class may differ from its hub for pairs of the hub's classes to be decided by these differences.
+MAX_DELTA = 64
 #: Lists of documents to fetch are broadcast up to this many; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 SIMILARITY = 85
@@ -172,6 +174,18 @@ class Finder:
         ranked = tokens.join(known, "s", "left").withColumn("p", place).where("f > 1")
         return ranked.join(nodes, "nid").where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * self.similarity / 100) + 1)
 
+    def with_deltas(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """nodes with hub_n, gone and extra: size of the hub's set and the differences from it; no hub where they are many."""
+        hubs = sets.select(F.col("nid").alias("hub"), F.col("shingles").alias("hub_set"))
+        both = nodes.join(sets.select("nid", "shingles"), "nid").join(hubs, "hub")
+        both = both.withColumn("gone", F.array_except("hub_set", "shingles")).withColumn("extra", F.array_except("shingles", "hub_set"))
+        near = F.size("gone") + F.size("extra") <= MAX_DELTA
+        blank = F.array().cast("array<bigint>")
+        return both.select(
+            "nid", "label", "n", *_CHUNK_COLUMNS, F.when(near, F.col("hub")).alias("hub"), F.size("hub_set").cast("long").alias("hub_n"),
+            *[F.when(near, F.col(c)).otherwise(blank).alias(c) for c in ("gone", "extra")],
+        )
+
     def add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = materialize(connected_components(self.links, "near-cc"), "near-labels")
@@ -189,8 +203,9 @@ class Finder:
         central = self.members.groupBy("nid").agg(F.sum("size").alias("score"))
         rows = self.members.join(central, "nid").select("key", "nid", "score")
         hubs = rows.groupBy("key").agg(F.max(F.struct("score", (-F.col("nid")).alias("m"))).alias("h"))
-        rows = rows.join(hubs, "key").select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")).where("a <> b")
-        self.add(self.confirm(self.pairs(rows)))
+        rows = rows.join(hubs, "key").groupBy("nid", "h").agg(F.count("*").alias("n_keys"))
+        hub_of = materialize(rows.groupBy("nid").agg(F.max("h").alias("h")).select("nid", (-F.col("h.m")).alias("hub")), "near-hubs")
+        self.add(self.confirm(self.pairs(rows.select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")).where("a <> b"))))
         # second hub: the class with the most links so far
         rows = self.open_members()
         degree = self.links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
@@ -201,12 +216,16 @@ class Finder:
         # the rest: pairs under the signature threshold in different components; two sets of the wanted similarity
         # share one of their rarest shingles, at places that leave room for enough others
         own = self.classes.select("nid", "n", *_CHUNK_COLUMNS)
-        nodes = materialize(self.open_members().select("nid", "label").distinct().join(own, "nid"), "near-nodes")
-        sets = self.sets_of(nodes.select("nid"))
+        nodes = materialize(self.open_members().select("nid", "label").distinct().join(own, "nid").join(hub_of, "nid"), "near-nodes")
+        sets = self.sets_of(nodes.select(F.explode(F.array("nid", "hub")).alias("nid")).distinct())
+        nodes = materialize(self.with_deltas(nodes, sets), "near-deltas")
         rows = materialize(self.prefixes(sets, nodes), "near-prefixes")
         room = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) + 1
         enough = room * (100 + self.similarity) >= (F.col("l.n") + F.col("r.n")) * self.similarity
-        apart = (F.col("l.s") == F.col("r.s")) & (F.col("l.label") < F.col("r.label")) & enough & possible("l", "r", self.similarity)
+        # of two classes near one hub, the differences from it give the intersection: such pairs are decided here
+        common = F.col("l.hub_n") - F.size("l.gone") - F.size("r.gone") + F.size(F.array_intersect("l.gone", "r.gone")) + F.size(F.array_intersect("l.extra", "r.extra"))
+        decided = (F.col("l.hub") == F.col("r.hub")) & (common * 100 < (F.col("l.n") + F.col("r.n") - common) * self.similarity)
+        apart = (F.col("l.s") == F.col("r.s")) & (F.col("l.label") < F.col("r.label")) & enough & possible("l", "r", self.similarity) & ~F.coalesce(decided, F.lit(False))
         rest = rows.alias("l").join(rows.alias("r"), apart).select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))
         self.add(self.confirm(self.pairs(rest), sets))
         return self.labels
