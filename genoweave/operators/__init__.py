@@ -1,0 +1 @@
+"""Relational operators and kernels over the engine's tables."""
