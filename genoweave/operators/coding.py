@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from ..plans.schemas import parsed
 
 from ..functions import sequence as S
 from ..functions.constants import FULL_BACKGROUND, MAX_RUN, MIN_BACKGROUND, MIN_REFIT, MIN_TRAIN, OVERLAP, PSI_TRAIN, SHRINK, SITE_MIN, SNR_TRAIN
@@ -43,7 +43,7 @@ def dicodons(orfs: DataFrame) -> DataFrame:
         for h, m in zip(*np.unique(pairs, return_counts=True), strict=True):
             yield genome, seg_idx, int(h), int(m)
 
-    return map_rows(orfs.select("genome", "seg_idx", "nt"), count, StructType.fromDDL("genome string, seg_idx bigint, hexamer int, m bigint"))
+    return map_rows(orfs.select("genome", "seg_idx", "nt"), count, parsed("genome string, seg_idx bigint, hexamer int, m bigint"))
 
 
 def background(hexamers: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def budget_walk(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
             for i in walk([(r[4], r[5], r[6]) for r in run], run[0][7], run[0][8]):
                 yield run[i][0], run[i][3]
 
-    return map_runs(rows, 2, keep, StructType.fromDDL("genome string, seg_idx bigint"))
+    return map_runs(rows, 2, keep, parsed("genome string, seg_idx bigint"))

@@ -5,19 +5,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from ..plans.schemas import parsed
 
 from ..functions import sequence as S
 from ..functions.constants import MAX_AA, MAX_RUN, SITE_MIN
 from ..plans.presets import GeneParams
 from .kernels import map_rows
 
-CANDIDATES = StructType.fromDDL(
+CANDIDATES = parsed(
     "genome string, contig_idx int, contig_len bigint, frame int, start bigint, aa_len int, close_at bigint, snr double, psi double, site int, nt string"
 )
-RUNS = StructType.fromDDL("genome string, aa_len int, n bigint")
-WINDOWS = StructType.fromDDL("genome string, contig_idx int, window bigint, snr double, coding boolean")
-HEXAMERS = StructType.fromDDL("genome string, hexamer int, n bigint, n_outside bigint")
+RUNS = parsed("genome string, aa_len int, n bigint")
+WINDOWS = parsed("genome string, contig_idx int, window bigint, snr double, coding boolean")
+HEXAMERS = parsed("genome string, hexamer int, n bigint, n_outside bigint")
 
 
 def _runs(codes: np.ndarray, offset: int, stops: np.ndarray):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from ..plans.schemas import parsed
 
 from ..functions import hashing
 from ..functions.constants import AMINO, RESIDUES
@@ -14,7 +14,7 @@ from ..functions.sequence import _RESIDUE
 from ..plans.presets import Shape, parse_shape
 
 ALPHABET = len(AMINO)
-RAW = StructType.fromDDL("genome string, seg_idx bigint, aa_pos int, kmer bigint, hash32 bigint")
+RAW = parsed("genome string, seg_idx bigint, aa_pos int, kmer bigint, hash32 bigint")
 #: Residues whose seeds are made at once.
 SLICE = 1 << 20
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_SIMPLE = {"string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "double": T.DoubleType, "float": T.FloatType, "boolean": T.BooleanType}
 
 DDL = {
     "contigs": "genome string, contig_idx int, contig string, seq string",
@@ -15,5 +17,30 @@ DDL = {
 }
 
 
-def schema(name: str) -> StructType:
-    return StructType.fromDDL(DDL[name])
+def _split(text: str) -> list[str]:
+    """At commas outside angle brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(n, _type(t)) for n, _, t in (x.partition(":") for x in _split(text[7:-1]))])
+    return _SIMPLE[text]()
+
+
+def parsed(ddl: str) -> T.StructType:
+    """A schema from "name type, ..." without a session."""
+    return T.StructType([T.StructField(n, _type(t.strip())) for n, _, t in (x.partition(" ") for x in _split(ddl))])
+
+
+def schema(name: str) -> T.StructType:
+    return parsed(DDL[name])

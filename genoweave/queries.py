@@ -48,6 +48,7 @@ def protein_tables(spark: SparkSession, sf_dir: str) -> api.GenomeTables:
     rows = protein_proxy(spark, sf_dir).withColumn("aa_len", F.length("protein"))
     before = Window.partitionBy("genome").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("nuc_start", F.coalesce(F.sum(F.col("aa_len") * 3).over(before), F.lit(0)).cast("bigint")).withColumn("contig_idx", F.lit(0)).withColumn("frame", F.lit(0))
+    rows = settled(rows, "proxy")
     genomes = rows.groupBy("genome").agg(F.sum(F.col("aa_len") * 3).cast("bigint").alias("nuc_length"), F.count("*").alias("n_orfs")).withColumn("coding_nuc", F.col("nuc_length"))
     return api.GenomeTables(genomes, genomes.select("genome"), rows)
 
@@ -270,7 +271,7 @@ def m04_chance_rates(spark, sf_dir):
 def m09_containment(spark, sf_dir):
     params = search_params("small-sensitive", top=5, exclude_self=True)
     out = api.search_genomes(protein_tables(spark, sf_dir), None, dist_params("med-normal"), params, containment_only=True)
-    return out.withColumns({c: F.round(c, 4) for c in ("marker_excess", "marker_containment")})
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("marker_excess", "marker_containment")})
 
 
 def m11_search(spark, sf_dir):
@@ -397,8 +398,8 @@ samp AS (SELECT k, genome, n FROM ks JOIN refs ON rid = (k * nr + nr // 2) // le
 
 
 _RATES = f"""{_THIN}, {_sample_sql(256)},
-both AS (SELECT m.genome, s.genome AS other, count(*) AS c FROM thin m JOIN thin s USING (hash32) JOIN samp ON samp.genome = s.genome GROUP BY ALL),
-grid AS (SELECT g.genome, s.genome AS other, s.n AS ns, g.n AS ng, coalesce(c, 0) AS c FROM refs g JOIN samp s ON g.genome <> s.genome LEFT JOIN both b ON b.genome = g.genome AND b.other = s.genome),
+shr AS (SELECT m.genome, s.genome AS other, count(*) AS c FROM thin m JOIN thin s USING (hash32) JOIN samp ON samp.genome = s.genome GROUP BY ALL),
+grid AS (SELECT g.genome, s.genome AS other, s.n AS ns, g.n AS ng, coalesce(c, 0) AS c FROM refs g JOIN samp s ON g.genome <> s.genome LEFT JOIN shr b ON b.genome = g.genome AND b.other = s.genome),
 rates AS (SELECT genome, coalesce(list_sort(list(c / ns::DOUBLE) FILTER (ns > 0))[(count(*) FILTER (ns > 0)) // 2 + 1], 0) AS lam FROM grid GROUP BY genome)"""
 _CONTAIN = f"""{_RATES}, post AS (SELECT * FROM thin WHERE hash32 IN (SELECT hash32 FROM thin GROUP BY hash32 HAVING count(*) <= 400)),
 cap AS (SELECT p.genome, s.genome AS other, count(*) AS c FROM post p JOIN thin s USING (hash32) JOIN samp ON samp.genome = s.genome GROUP BY ALL),
@@ -462,14 +463,14 @@ SELECT genome, frame, start, aa_len, {_TRANSLATE} AS protein FROM tr""",
 bq AS (SELECT q, r, q_seg, arg_min(r_seg, (-score, r_seg)) AS r_seg FROM sc GROUP BY q, r, q_seg), br AS (SELECT q, r, r_seg, arg_min(q_seg, (-score, q_seg)) AS q_seg FROM sc GROUP BY q, r, r_seg)
 SELECT q, r, q_seg, r_seg, score FROM sc JOIN bq USING (q, r, q_seg, r_seg) JOIN br USING (q, r, q_seg, r_seg)""",
     "c09_evalues": f"SELECT l_orderkey, l_linenumber, round(ln({K} * greatest(1, m - l) * greatest(1, n - l) * exp(-{LAMBDA} * s)), 6) AS ln_e FROM {_length_rounds('m', 'n', '(SELECT l_orderkey, l_linenumber, l_quantity AS s, (l_partkey % 500 + 30)::DOUBLE AS m, (l_suppkey % 300 + 30)::DOUBLE AS n FROM lineitem)')}",
-    "c10_sum_evalues": f"""WITH x AS (SELECT l_orderkey, (l_orderkey % 200 + 40)::DOUBLE AS m, (l_orderkey % 90 + 40)::DOUBLE AS n, count(*) AS r, sum(l_quantity + 20) AS s FROM lineitem GROUP BY l_orderkey),
+    "c10_sum_evalues": f"""WITH x AS (SELECT l_orderkey, (l_orderkey % 200 + 40)::DOUBLE AS m, (l_orderkey % 90 + 40)::DOUBLE AS n, count(*) AS r, sum(q + 20) AS s FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i FROM lineitem) WHERE i <= {statistics.POOL} GROUP BY l_orderkey),
 t AS (SELECT *, {LAMBDA} * s - r * ln({K} * greatest(1, m - l) * greatest(1, n - l)) AS t FROM {_length_rounds('m', 'n', 'x')})
 SELECT l_orderkey, round(CASE WHEN t <= 0 THEN ln(1e30) ELSE -t + (r - 1) * ln(t) - lgamma(r + 1) - lgamma(r) END, 6) AS ln_e FROM t""",
     "a10_interval_union": f"WITH iv AS (SELECT l_suppkey AS k, l_partkey AS s, l_partkey + l_quantity::BIGINT AS e FROM lineitem), {_UNION} SELECT k AS l_suppkey, sum(n)::BIGINT AS covered FROM u GROUP BY k",
     "m01_markers": f"WITH {_THIN} SELECT genome, hash32 FROM thin",
     "m03_background_sample": f"WITH {_THIN}, {_sample_sql(100)} SELECT k, genome, n AS n_markers FROM samp",
     "m04_chance_rates": f"WITH {_RATES} SELECT genome, round(lam, 9) AS lam FROM rates",
-    "m09_containment": f"WITH {_CONTAIN} SELECT q AS query, r AS ref, shared AS shared_markers, round(ex::DOUBLE, 4) AS marker_excess, round(co::DOUBLE, 4) AS marker_containment, qn AS query_markers, rn AS ref_markers FROM inter WHERE rank <= 5",
+    "m09_containment": f"WITH {_CONTAIN} SELECT q AS query, r AS ref, shared AS shared_markers, round(ex::DOUBLE, 4) + 0.0 AS marker_excess, round(co::DOUBLE, 4) + 0.0 AS marker_containment, qn AS query_markers, rn AS ref_markers FROM inter WHERE rank <= 5",
     "s11_gff_lines": f"""WITH {_ORFS} SELECT genome, seg_idx + 1 AS k, concat_ws(chr(9), 'c0', 'genoweave', 'CDS', (start + 1)::VARCHAR, (start + 3 * aa_len)::VARCHAR, '.', CASE WHEN rev THEN '-' ELSE '+' END, '0', 'ID=orf_' || (seg_idx + 1)) AS line FROM sorted
 UNION ALL SELECT DISTINCT genome, 0, '##gff-version 3' FROM sorted""",
     "s13_printed_rows": "SELECT s_suppkey::VARCHAR AS s_suppkey, printf('%.6f', s_acctbal) AS s_acctbal FROM supplier",

@@ -11,13 +11,13 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from ..plans.schemas import parsed
 
 from ..operators.seeds import packed, unpacked
 
 #: Any eight bytes that end in this mark; the older mark needs a rebuild.
 MARK, OLD_MARK = b"DB2", b"DB1"
-DECODED = StructType.fromDDL(
+DECODED = parsed(
     "genome string, nuc_length bigint, coding_nuc bigint, contigs array<struct<contig:string,offset:bigint,length:bigint>>, "
     "orfs array<struct<frame:int,nuc_start:bigint,aa_len:int,protein:string>>"
 )
