@@ -83,11 +83,11 @@ def g03_orf_order(spark, sf_dir):
 
 
 def g04_orf_measures(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("genome", "frame", "start", F.round("snr", 6).alias("snr"), F.round("psi", 6).alias("psi"))
+    return _candidates(spark, sf_dir).select("genome", "frame", "start", F.round(F.col("snr") + 1e-9, 6).alias("snr"), F.round("psi", 6).alias("psi"))
 
 
 def g08_coding_windows(spark, sf_dir):
-    return orfs.coding_windows(nucleotide_proxy(spark, sf_dir)).select("genome", "window", F.round("snr", 6).alias("snr"), "coding")
+    return orfs.coding_windows(nucleotide_proxy(spark, sf_dir)).select("genome", "window", F.round(F.col("snr") + 1e-9, 6).alias("snr"), "coding")
 
 
 def g10_training_set(spark, sf_dir):
@@ -433,8 +433,8 @@ SQL = {
     "g02_orfs": f"WITH {_ORFS} SELECT genome, frame, start, aa_len FROM orfs",
     "g02h_run_lengths": f"WITH {_BREAKS} SELECT genome, least(len, 4096)::INT AS aa_len, count(*) AS n FROM runs WHERE closed GROUP BY ALL",
     "g03_orf_order": f"WITH {_ORFS} SELECT genome, seg_idx, frame, start FROM sorted",
-    "g04_orf_measures": f"WITH {_MEASURED} SELECT genome, frame, start, round(snr, 6) AS snr, round(psi, 6) AS psi FROM measured",
-    "g08_coding_windows": f"WITH {_WINDOWS} SELECT genome, w AS \"window\", round(snr, 6) AS snr, snr > 1.6 AS coding FROM measured",
+    "g04_orf_measures": f"WITH {_MEASURED} SELECT genome, frame, start, round(snr + 1e-9, 6) AS snr, round(psi, 6) AS psi FROM measured",
+    "g08_coding_windows": f"WITH {_WINDOWS} SELECT genome, w AS \"window\", round(snr + 1e-9, 6) AS snr, snr > 1.6 AS coding FROM measured",
     "g11_background": f"WITH {_WINDOWS}, at AS (SELECT genome, seq, unnest(range(0, length(seq) - 5)) AS p FROM seqs), hx AS (SELECT genome, p // 300 AS w, {_HEX.format('substr(seq, (p + 1)::INT, 6)')} AS hexamer FROM at) SELECT genome, hexamer, count(*) AS n, count(*) FILTER (coalesce(snr, 0) <= 1.6) AS n_outside FROM hx LEFT JOIN measured USING (genome, w) GROUP BY ALL".replace(", at AS", ", at_ AS").replace("FROM at)", "FROM at_)"),
     "g12_dicodons": f"WITH {_DICODONS} SELECT genome, hexamer, sum(m)::BIGINT AS m FROM dis GROUP BY ALL",
     "g14_hexamer_scores": f"""WITH {_DICODONS}, bg AS (SELECT genome, {_HEX.format('substr(seq, (p + 1)::INT, 6)')} AS hexamer, count(*) AS b FROM (SELECT genome, seq, unnest(range(0, length(seq) - 5)) AS p FROM seqs) GROUP BY ALL),
