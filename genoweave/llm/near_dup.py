@@ -5,9 +5,8 @@ have, by pigeonhole, a chunk with at most one error, so they agree in one of its
 document find every pair under the threshold. A pair of similarity 0.85 differs in over 11 symbols less often than once in 10,000.
 
 Texts with equal shingle sets are one class first. A bucket of the index never emits all its pairs: its classes are
-compared with one hub (then, where that didn't join them, with the class that most hubs were linked to), and only classes
-that are still in different components, and share one of their rarest shingles (prefix filter), are compared with one another. Every candidate pair is confirmed on the full
-sets of 64-bit shingle hashes. Buckets are aggregated and joined, so a hot bucket is combined map-side and can be split.
+compared with one hub, the most central of them, and only classes that are still in different components, and share one of their
+rarest shingles (prefix filter), are compared with one another. Every candidate pair is confirmed on the full sets of 64-bit shingle hashes. Buckets are aggregated and joined, so a hot bucket is combined map-side and can be split.
 
 Defined results: null and empty texts, or texts without words, have no shingles and are linked with nothing; a text of fewer
 than three words is one shingle; component_id is the smallest non-null doc_id reachable; rows that repeat a doc_id share its flag in
@@ -187,6 +186,8 @@ class Finder:
         )
 
     def add(self, links: DataFrame) -> None:
+        if self.labels is not None and links.isEmpty():
+            return
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = materialize(connected_components(self.links, "near-cc"), "near-labels")
 
@@ -206,13 +207,6 @@ class Finder:
         rows = rows.join(hubs, "key").groupBy("nid", "h").agg(F.count("*").alias("n_keys"))
         hub_of = materialize(rows.groupBy("nid").agg(F.max("h").alias("h")).select("nid", (-F.col("h.m")).alias("hub")), "near-hubs")
         self.add(self.confirm(self.pairs(rows.select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")).where("a <> b"))))
-        # second hub: the class with the most links so far
-        rows = self.open_members()
-        degree = self.links.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
-        rows = rows.join(degree, "nid", "left").fillna({"degree": 0})
-        hubs = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("nid")).alias("m"), "label")).alias("h"))
-        rows = rows.join(hubs, "key").where(F.col("label") != F.col("h.label"))
-        self.add(self.confirm(self.pairs(rows.select((-F.col("h.m")).alias("a"), F.col("nid").alias("b")))))
         # the rest: pairs under the signature threshold in different components; two sets of the wanted similarity
         # share one of their rarest shingles, at places that leave room for enough others
         own = self.classes.select("nid", "n", *_CHUNK_COLUMNS)
