@@ -132,11 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: in
     def count(batches):
         for batch in batches:
             for row, data, starts in shingles.slices(batch.column(2)):
-                part = term_counts(data, starts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array([r.tobytes() for r in part], pa.binary())], names=["doc_id", "y", "terms"])
+                found_terms = []
+                for counts in term_counts(data, starts):
+                    some = np.flatnonzero(counts)
+                    found_terms.append(some.astype("<u2").tobytes() + counts[some].astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array(found_terms, pa.binary())], names=["doc_id", "y", "terms"])
 
     got = found.mapInArrow(count, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, ALL_TERMS)
+    counts = np.zeros((len(got), ALL_TERMS), np.float32)
+    for row, value in zip(counts, got["terms"], strict=True):
+        data = value.as_py()
+        n = len(data) // 6
+        row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
     return Model(counts, got["y"].to_numpy(), fallback)
 
 
