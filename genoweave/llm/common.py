@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """In long jobs: let the driver drop what no DataFrame refers to any more, with its shuffle files, broadcasts and plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_az(text: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII text takes the byte-wise lower(), which is the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -18,18 +18,18 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return hung.where("b <> m").select(F.col("m").alias("a"), "b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or hangs on one node: edges(a, b) with a < b are then stars around least nodes."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("h"), F.max("centre").alias("c")).where("h > 1 or (h = 1 and c = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """edges(a, b) -> (node, label): the least node of each component, for every node that has an edge.
 
-    Each round's edges are a table in the shared folder; the loop ends when the set of edges, summed up by
-    its count and two order-free sums, no longer changes: every component is then a star.
+    Each round's edges are a table in the shared folder; the loop ends when every component is a star around its least node.
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
-    last = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
-        if state[0] == 0 or state == last:
-            break
-        last = state
+    while not _stars(edges):
         edges = materialize(_star(_star(edges, True), False), tag)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())

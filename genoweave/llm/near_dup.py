@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import materialize
+from .common import materialize, tidy
 from .components import connected_components
 
 CHUNKS, IN_CHUNK, BITS, MAX_ERRORS = 6, 4, 14, 11
@@ -190,6 +190,7 @@ class Finder:
             return
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = materialize(connected_components(self.links, "near-cc"), "near-labels")
+        tidy(links.sparkSession)
 
     def open_members(self) -> DataFrame:
         """Members, with their labels, of the buckets that still hold several components."""
