@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dup, packing, quality, secrets, substrings, tiff, url_filter
+from . import chat, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, substrings, tiff, url_filter
 from .common import read
 
 
@@ -31,12 +31,19 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.without_repeats(read(spark, sf_dir, "documents"))
+def _with_spans(found: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select("doc_id", "n_removed", "removed_chars", spans.alias("spans"), "text")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_spans(passages.without_passages(read(spark, sf_dir, "documents")))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_spans(substrings.without_repeats(read(spark, sf_dir, "documents")))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 

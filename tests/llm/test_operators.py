@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoweave.llm import chat, components, exact_dedup, mixing, near_dup, packing, quality, secrets, shingles, substrings, tiff, url_filter
+from genoweave.llm import chat, components, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, shingles, substrings, tiff, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -390,6 +390,51 @@ def test_line_dedup(spark, odd, empty):
     assert got == {0: paragraphs[0][1], 1: "x\n\ny"}
 
 
+def plain_passages(rows):
+    """Spans of all runs of 50 words that an earlier place holds, in texts whose lines don't repeat."""
+    seen, out = {}, {}
+    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
+        found, gone = list(WORD.finditer(text)), set()
+        for k in range(len(found) - 49):
+            part = found[k : k + 50]
+            where = seen.setdefault(" ".join(m.group() for m in part).translate(FOLD), (doc_id, part[0].start(), part[-1].end()))
+            if where[:2] != (doc_id, part[0].start()):
+                gone |= set(range(max(part[0].start(), where[2]) if where[0] == doc_id else part[0].start(), part[-1].end()))
+        out[doc_id] = {x for x in gone if not text[x].isspace()}
+    return out
+
+
+def test_passages_within_lines(spark, odd, empty):
+    rng = random.Random(4)
+    long = [[rng.choice(["the", "Über", "fox", "🙂", "ran", f"w{rng.randint(0, 400)}"]) for _ in range(n)] for n in (50, 51, 80, 49, 200)]
+    rows = []
+    for k in range(60):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            text += [f"u{k}x{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 30))] + rng.choice(long)
+        rows.append((k, "".join(w + rng.choice([" ", "  ", " ", "\t"]) for w in text) + f"end{k}", "en", "s", 1))
+    rows.append((90, " ".join(["la"] * 300) + " x90", "en", "s", 1))
+    rows.append((91, "q91 " + "。".join(["天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽雲騰致雨露結為霜金生麗水"] * 1) + " z91", "zh", "s", 1))
+    got = {r.doc_id: r for r in passages.without_passages(frame(spark, rows)).collect()}
+    want = plain_passages(rows)
+    assert sum(map(bool, want.values())) > 40
+    for doc_id, text, *_ in rows:
+        spans = [(s.start, s.end) for s in got[doc_id].spans]
+        assert {x for a, b in spans for x in range(a, b) if not text[x].isspace()} == want[doc_id]
+        assert got[doc_id].removed_chars == sum(b - a for a, b in spans) and got[doc_id].n_removed == len(spans)
+        assert got[doc_id].text == "".join(c for x, c in enumerate(text) if not any(a <= x < b for a, b in spans))
+    assert passages.without_passages(odd).count() == len(odd_rows()) and passages.without_passages(empty).count() == 0
+
+
+def test_passages_beside_lines(spark):
+    line, passage = "one line of five words", " ".join(f"p{k}" for k in range(55))
+    rows = [(0, f"{line}\na {passage} b\nc", "", "", 0), (1, f"x\n{line}\nstart {passage.upper().replace('P7 ', 'P7' + chr(10))} end", "", "", 0)]
+    han = "".join(chr(0x4E00 + k) for k in range(60))
+    rows += [(2, f"甲{han}乙", "", "", 0), (3, f"丙丁{han}戊", "", "", 0)]
+    got = {r.doc_id: r.text for r in passages.without_passages(frame(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: "x\nstart  end", 2: rows[2][1], 3: "丙丁戊"}
+
+
 # ---- chat ----
 
 
