@@ -1,6 +1,6 @@
 """Substring deduplication within lines: every run of ``WINDOW`` words that stands more than once in the table.
 
-Repeated lines go first, as in ``substrings``. In what is left, of equal runs of ``WINDOW`` words (A-Z lower-cased, whatever blanks lie
+Repeated lines go first, as in ``substrings``, those of few words but ``MIN_CHARS`` code points too. In what is left, of equal runs of ``WINDOW`` words (A-Z lower-cased, whatever blanks lie
 between, line ends too) the earliest stays, in order of doc_id, then place, and all others are removed. In scripts without blanks each
 letter counts as a word. Only runs that hold a repeated anchor are compared: the anchor is the least hash of the ``GRAM``-word runs in
 it, which equal runs share, so that none is missed. Spans are code points of the original text, end exclusive, merged where they overlap.
@@ -191,7 +191,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text (without repeated lines and runs), n_removed, removed_chars, spans (array of start and end)."""
     plain = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = substrings.repeated_spans(docs).select("doc_id", "h", F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("spans"))
+    lines = substrings.repeated_spans(docs, min_chars=substrings.MIN_CHARS).select("doc_id", "h", F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("spans"))
     source = materialize(_by_document(source, lines, "left"), "passages")
     both = _by_document(source, repeated_runs(source), "left").select("doc_id", "text", "spans", "runs")
     schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", plain)])

@@ -5,7 +5,8 @@ collapsed and trimmed) and hashed to 128 bits; of equal units of the whole table
 and all others are removed. Spans are code points of the original text, end exclusive.
 
 Defined results: null text is empty and stays null; null doc_ids rank first; rows equal in doc_id and text are one document, with
-the same result for each; units with fewer words are never removed; an empty table gives an empty result; further columns are ignored.
+the same result for each; units with fewer words are never removed, unless ``min_chars`` is given and they have so many code points
+(scripts without blanks, long unbroken runs); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from .common import materialize
 
 MIN_WORDS = 5
+#: Code points that make up for words where callers ask for it.
+MIN_CHARS = 40
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 _LINE, _PARAGRAPH = re.compile(r"\n"), re.compile(r"\n[\x20\x09-\x0D]*\n")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,8 +43,8 @@ def normal_form(piece: str) -> str:
     return _BLANKS.sub(" ", piece).strip(" ").translate(_LOWER)
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), place, start, end, digest of each unit that has enough words."""
+def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
+    """doc_id, h (hash of the text), place, start, end, digest of each unit that has enough words or, where min_chars is given, code points."""
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     names = ["doc_id", "h", "place", "start", "end", "digest"]
     schema = T.StructType([source.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("digest", T.BinaryType())])
@@ -61,7 +64,7 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
                 text = value.as_py() or ""
                 for place, (a, b) in enumerate(pieces(text, unit)):
                     form = normal_form(text[a:b])
-                    if form.count(" ") + 1 >= min_words and form:
+                    if form and (form.count(" ") + 1 >= min_words or (min_chars is not None and len(form) >= min_chars)):
                         for c, v in zip(held, (i, place, a, b, hashlib.blake2b(form.encode(), digest_size=16).digest()), strict=True):
                             c.append(v)
                 if len(held[0]) >= ROWS:
@@ -72,18 +75,18 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
     return source.mapInArrow(split, schema)
 
 
-def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """doc_id, h, spans: the places of each document's removed units, for documents that have some."""
-    found = materialize(units(docs, unit, min_words), "units")
+    found = materialize(units(docs, unit, min_words, min_chars), "units")
     first = F.min(F.struct("doc_id", "h", "place")).alias("first")
     kept = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "first")
     lost = found.join(kept, "digest").where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end", "place"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """One row per document: doc_id, text (without removed units), n_removed, removed_chars, spans (array of start and end)."""
-    spans = repeated_spans(docs, unit, min_words).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["place"])).alias("spans"))
+    spans = repeated_spans(docs, unit, min_words, min_chars).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["place"])).alias("spans"))
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     both = source.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "text", "spans")
     plain = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -435,6 +435,16 @@ def test_passages_beside_lines(spark):
     assert got == {0: rows[0][1], 1: "x\nstart  end", 2: rows[2][1], 3: "丙丁戊"}
 
 
+def test_long_lines_of_few_words(spark):
+    han, run, short = "".join(chr(0x4E00 + k) for k in range(45)), "x" * 60, "four words stay here"
+    rows = [(k, f"{k}\n{han}\n{run}\n{short}", "", "", 0) for k in range(2)]
+    kept = {0: rows[0][1], 1: f"1\n{short}"}
+    df = frame(spark, rows)
+    assert {r.doc_id: r.text for r in substrings.without_repeats(df, min_chars=substrings.MIN_CHARS).collect()} == kept
+    assert {r.doc_id: r.text for r in passages.without_passages(df).collect()} == kept
+    assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == {0: 0, 1: 0}
+
+
 # ---- chat ----
 
 
