@@ -10,7 +10,7 @@ rarest shingles (prefix filter), are compared with one another. Every candidate
 
 Defined results: null and empty texts, or texts without words, have no shingles and are linked with nothing; a text of fewer
 than three words is one shingle; component_id is the smallest non-null doc_id reachable; rows that repeat a doc_id share its flag in
-``near_duplicates`` and are kept once (the largest text) by ``drop_near_copies``, which keeps every row without a doc_id; an empty table gives an empty result; further columns are ignored.
+``near_duplicates``; ``drop_near_copies`` keeps one row of each component, that of the smallest doc_id (nulls last), whatever ids repeat or are null, and every text without words; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import materialize, tidy
+from .common import WORD, materialize, tidy
 from .components import connected_components
 
 CHUNKS, IN_CHUNK, BITS, MAX_ERRORS = 6, 4, 14, 11
@@ -44,10 +44,10 @@ _HIGH = sum(1 << (LANE * i + BITS) for i in range(IN_CHUNK))
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n (set size), d0 and d1 (128-bit digest of the set), c0 to c5 (chunks of the signature)."""
-    source = docs.select("doc_id", "text")
+    """doc_id, n (set size), d0 and d1 (128-bit digest of the set), c0 to c5 (chunks of the signature), uid (hash of doc_id and text)."""
+    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     longs = ["n", "d0", "d1", *_CHUNK_COLUMNS]
-    schema = T.StructType([source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs)])
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in [*longs, "uid"])])
 
     def sign(batches):
         for batch in batches:
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     least = np.minimum.reduceat((found ^ _XOR[k]) * _ODD[k], begin)
                     symbol = shingles.mix64(least) & np.uint64((1 << BITS) - 1)
                     out[3 + k // IN_CHUNK, at] |= symbol << np.uint64(LANE * (k % IN_CHUNK))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in out)], names=["doc_id", *longs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.view(np.int64)) for c in out), batch.column(2)], names=["doc_id", *longs, "uid"])
 
     return source.mapInArrow(sign, schema)
 
@@ -120,7 +120,7 @@ class Finder:
     def __init__(self, docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY):
         self.docs, self.width, self.similarity = docs.select("doc_id", "text"), width, similarity
         self.rows = materialize(signatures(self.docs, width), "near-rows")
-        classes = self.rows.where("n > 0").groupBy("d0", "d1", "n", *_CHUNK_COLUMNS).agg(F.min("doc_id").alias("first_id"))
+        classes = self.rows.where("n > 0").groupBy("d0", "d1", "n", *_CHUNK_COLUMNS).agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"))
         self.classes = materialize(classes.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
         keys = self.classes.select("nid", F.explode(index_keys()).alias("key"))
         shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -226,13 +226,18 @@ class Finder:
         return self.labels
 
 
+def classified(finder: Finder) -> DataFrame:
+    """d0, d1, component_id, uid (of the row that stays of the component) of each class."""
+    labels = finder.run()
+    classes = finder.classes.select("nid", "d0", "d1", "first_id", "first").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    least = classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("first").alias("least"))
+    return materialize(classes.join(least, "label").select("d0", "d1", "component_id", F.col("least.uid").alias("uid")), "near-result")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     finder = Finder(docs, width, similarity)
-    labels = finder.run()
-    classes = finder.classes.select("nid", "d0", "d1", "first_id").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    least = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(classes.join(least, "label").select("d0", "d1", "component_id"), "near-result")
+    classes = classified(finder).drop("uid")
     words = finder.rows.where("n > 0").join(classes, ["d0", "d1"])
     empty = finder.rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     out = words.select("doc_id", "n", "component_id").unionByName(empty.select("doc_id", "n", "component_id"))
@@ -240,9 +245,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without the near copies: one document of each component stays; columns and whole texts unchanged."""
-    kept = near_duplicates(docs, width, similarity).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_shingles").alias("__n"))
-    found = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    once = Window.partitionBy("__id").orderBy(F.col("text").desc_nulls_last())
+    """docs without the near copies: one row of each component stays; columns and whole texts unchanged."""
+    kept = classified(Finder(docs, width, similarity)).select(F.col("uid").alias("__uid")).distinct()
+    found = docs.withColumn("__own", F.xxhash64("doc_id", "text")).join(kept, F.col("__own") == F.col("__uid"))
+    once = Window.partitionBy("__uid").orderBy(F.col("text").desc_nulls_last())
     named = found.withColumn("__k", F.row_number().over(once)).where("__k = 1").select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))

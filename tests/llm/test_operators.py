@@ -315,6 +315,17 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
 
 
+def test_near_copies_under_repeated_and_null_ids(spark):
+    base = {x: " ".join(f"{x}{k}" for k in range(200)) for x in "pqrs"}
+    rows = [
+        (3, base["p"], "en", "s", 1), (5, base["p"] + " zz", "en", "s", 1), (5, base["q"], "en", "s", 1), (None, base["p"] + " yy", "en", "s", 1), (None, base["r"], "en", "s", 1),
+        (None, base["r"] + " xx", "en", "s", 1), (6, base["s"], "en", "s", 1), (6, base["s"], "en", "s", 1), (6, " ", "en", "s", 1), (None, None, "en", "s", 1),
+    ]
+    got = near_dup.drop_near_copies(frame(spark, rows)).collect()
+    assert len(got) == 6 and {(3, base["p"]), (5, base["q"]), (6, base["s"]), (6, " "), (None, None)} < {(r.doc_id, r.text) for r in got}
+    assert len([r for r in got if r.doc_id is None and (r.text or "").startswith("r0 ")]) == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
