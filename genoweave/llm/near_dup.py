@@ -6,7 +6,9 @@ document find every pair under the threshold. A pair of similarity 0.85 differs
 
 Texts with equal shingle sets are one class first. A bucket of the index never emits all its pairs: its classes are
 compared with one hub, the most central of them, and only classes that are still in different components, and share one of their
-rarest shingles (prefix filter), are compared with one another. Every candidate pair is confirmed on the full sets of 64-bit shingle hashes. Buckets are aggregated and joined, so a hot bucket is combined map-side and can be split.
+rarest shingles (prefix filter), are compared with one another. In a large bucket of such shingles that goes by rounds: a class is compared
+with one random member at first, then with ``GROWTH`` times as many a round, and leaves once it has joined them, so the links that a round finds grow with
+its classes, not with their pairs. The last round compares all that are still apart. Every candidate pair is confirmed on the full sets of 64-bit shingle hashes. Buckets are aggregated and joined, so a hot bucket is combined map-side and can be split.
 
 Defined results: null and empty texts, or texts without words, have no shingles and are linked with nothing; a text of fewer
 than three words is one shingle; component_id is the smallest non-null doc_id reachable; rows that repeat a doc_id share its flag in
@@ -28,6 +30,8 @@ from .components import connected_components
 CHUNKS, IN_CHUNK, BITS, MAX_ERRORS = 6, 4, 14, 11
 SYMBOLS = CHUNKS * IN_CHUNK
 LANE = BITS + 1
+#: Buckets of over WIDE classes are compared by rounds; each round has GROWTH times as many members of a bucket to compare with.
+WIDE, GROWTH = 16, 8
 #: Shingles by which a class may differ from its hub for pairs of the hub's classes to be decided by these differences.
 MAX_DELTA = 64
 #: Lists of documents to fetch are broadcast up to this many; longer ones are joined by a shuffle.
@@ -126,7 +130,6 @@ class Finder:
         shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         #: Members of the buckets that hold more than one class.
         self.members = materialize(keys.join(shared, "key"), "near-members")
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -185,20 +188,53 @@ class Finder:
             *[F.when(near, F.col(c)).otherwise(blank).alias(c) for c in ("gone", "extra")],
         )
 
-    def add(self, links: DataFrame) -> None:
-        if self.labels is not None and links.isEmpty():
-            return
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = materialize(connected_components(self.links, "near-cc"), "near-labels")
+    def add(self, links: DataFrame) -> bool:
+        """Merge the components that the links join; links between the same two components count once. Whether there were any."""
+        if self.labels is None:
+            self.labels = materialize(connected_components(links, "near-cc"), "near-labels")
+            return True
+        if links.isEmpty():
+            return False
+        ends = links
+        for c in ("a", "b"):
+            own = self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+            ends = ends.join(own, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+        merged = materialize(connected_components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), "near-cc"), "near-merged")
+        moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old = self.labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        new = merged.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = materialize(old.unionByName(new), "near-labels")
         tidy(links.sparkSession)
+        return True
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows(nid, ...) with the label of each."""
+        named = rows.join(self.labels.withColumnRenamed("node", "nid"), "nid", "left")
+        return named.withColumn("label", F.coalesce("label", "nid"))
 
     def open_members(self) -> DataFrame:
         """Members, with their labels, of the buckets that still hold several components."""
-        named = self.members.select("key", "nid").join(self.labels.withColumnRenamed("node", "nid"), "nid", "left")
-        named = named.withColumn("label", F.coalesce("label", "nid"))
+        named = self.labelled(self.members.select("key", "nid"))
         still = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         return materialize(named.join(still, "key", "left_semi"), "near-open")
 
+    def still_open(self, rows: DataFrame) -> DataFrame:
+        """rows(s, nid, ...), with their present labels, of the buckets that hold several components."""
+        rows = materialize(self.labelled(rows.drop("label")), "near-rows")
+        several = rows.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
+        return rows.join(several, "s", "left_semi")
+
+    def apart(self, left: DataFrame, right: DataFrame, order: Column | None = None) -> DataFrame:
+        """Pairs (a, b) of classes in different components that share a rare shingle and may be similar enough."""
+        order = F.col("l.label") != F.col("r.label") if order is None else order
+        room = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) + 1
+        enough = room * (100 + self.similarity) >= (F.col("l.n") + F.col("r.n")) * self.similarity
+        # of two classes near one hub, the differences from it give the intersection: such pairs are decided here
+        common = F.col("l.hub_n") - F.size("l.gone") - F.size("r.gone") + F.size(F.array_intersect("l.gone", "r.gone")) + F.size(F.array_intersect("l.extra", "r.extra"))
+        decided = (F.col("l.hub") == F.col("r.hub")) & (common * 100 < (F.col("l.n") + F.col("r.n") - common) * self.similarity)
+        on = (F.col("l.s") == F.col("r.s")) & order & enough & possible("l", "r", self.similarity) & ~F.coalesce(decided, F.lit(False))
+        return left.alias("l").join(right.alias("r"), on).select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))
+
     def run(self) -> DataFrame:
         """(nid, label) of the classes that have links."""
         # first hub: the class that shares most keys with most others, so the text that copies stem from rather than a copy
@@ -215,13 +251,18 @@ class Finder:
         sets = self.sets_of(nodes.select(F.explode(F.array("nid", "hub")).alias("nid")).distinct())
         nodes = materialize(self.with_deltas(nodes, sets), "near-deltas")
         rows = materialize(self.prefixes(sets, nodes), "near-prefixes")
-        room = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p")) + 1
-        enough = room * (100 + self.similarity) >= (F.col("l.n") + F.col("r.n")) * self.similarity
-        # of two classes near one hub, the differences from it give the intersection: such pairs are decided here
-        common = F.col("l.hub_n") - F.size("l.gone") - F.size("r.gone") + F.size(F.array_intersect("l.gone", "r.gone")) + F.size(F.array_intersect("l.extra", "r.extra"))
-        decided = (F.col("l.hub") == F.col("r.hub")) & (common * 100 < (F.col("l.n") + F.col("r.n") - common) * self.similarity)
-        apart = (F.col("l.s") == F.col("r.s")) & (F.col("l.label") < F.col("r.label")) & enough & possible("l", "r", self.similarity) & ~F.coalesce(decided, F.lit(False))
-        rest = rows.alias("l").join(rows.alias("r"), apart).select(F.col("l.nid").alias("a"), F.col("r.nid").alias("b"))
+        buckets = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        wide = materialize(buckets.where(F.col("m") > WIDE).select("s", "m"), "near-wide")
+        narrow = rows.join(buckets.where(F.col("m") <= WIDE).select("s"), "s", "left_semi")
+        rows = materialize(rows.join(wide, "s"), "near-rows")
+        largest, sampled, found = wide.agg(F.max("m")).first()[0] or 0, 1, True
+        while found and sampled < largest:
+            rows = self.still_open(rows.where(F.col("m") > sampled // GROWTH))
+            hubs = rows.where(F.pmod(F.xxhash64("nid", "s"), F.col("m")) < sampled)
+            found = self.add(self.confirm(self.pairs(self.apart(rows, hubs)), sets))
+            sampled *= GROWTH
+        rows, ordered = self.still_open(rows), F.col("l.label") < F.col("r.label")
+        rest = self.apart(rows, rows, ordered).unionByName(self.apart(narrow, narrow, ordered))
         self.add(self.confirm(self.pairs(rest), sets))
         return self.labels
 

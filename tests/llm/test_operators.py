@@ -308,6 +308,33 @@ def test_near_copies_of_a_common_text(spark):
     assert got == plain_components(plain_sets(rows, 3), 85)
 
 
+@pytest.mark.parametrize("edits", [(4, 9), (0, 14)])
+def test_links_of_a_large_group_grow_with_its_rows(spark, edits, monkeypatch):
+    """300 worn copies of one text, most of them not similar to any one hub: right components, and few links before them."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.randint(*edits)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(25)}"
+        rows.append((k, " ".join(words), "en", "s", 1))
+    found = []
+    confirm = near_dup.Finder.confirm
+
+    def counted(self, *args):
+        links = confirm(self, *args)
+        found.append(links.count())
+        return links
+
+    monkeypatch.setattr(near_dup.Finder, "confirm", counted)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), 5, 80).collect()}
+    sets = plain_sets(rows, 5)
+    assert got == plain_components(sets, 80)
+    similar = sum(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in range(300) for b in range(a))
+    assert sum(found) < 6 * len(rows) and sum(found) < max(similar / 2, len(rows))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = near_dup.near_duplicates(odd)
     assert got.count() == len(odd_rows()) and near_dup.near_duplicates(empty).count() == 0 and near_dup.drop_near_copies(empty).count() == 0
