@@ -1,17 +1,19 @@
-"""Substring deduplication within lines: every run of ``WINDOW`` words that stands more than once in the table.
-
-Repeated lines go first, as in ``substrings``, those of few words but ``MIN_CHARS`` code points too. In what is left, of equal runs of ``WINDOW`` words (A-Z lower-cased, whatever blanks lie
-between, line ends too) the earliest stays, in order of doc_id, then place, and all others are removed. In scripts without blanks each
-letter counts as a word. Only runs that hold a repeated anchor are compared: the anchor is the least hash of the ``GRAM``-word runs in
-it, which equal runs share, so that none is missed. Spans are code points of the original text, end exclusive, merged where they overlap.
-
-Defined results: as in ``substrings``; where a run overlaps its own first occurrence, the first occurrence stays whole.
+"""Substring deduplication by line hashing, and of every repeated run of ``WINDOW`` words within lines.
+
+Two kinds of units go. Lines of ``WINDOW`` words, or of ``LONG`` code points whatever their words, are normalised, hashed and grouped as in
+``substrings``. That can't see a passage inside a longer line, or one that is broken otherwise; so of equal runs of ``WINDOW`` words
+(A-Z lower-cased, whatever blanks lie between, line ends too) the earliest stays as well, in order of doc_id, then place, and the others
+are removed. In scripts without blanks each letter counts as a word. Only runs that hold a repeated anchor are compared: the anchor is the
+least hash of the ``GRAM``-word runs in it, which equal runs share, so that none is missed. Shorter lines and runs, however common, stay: stock phrases
+aren't passages. Spans are code points of the original text, end exclusive, merged where they overlap; the text is what they leave.
+
+Defined results: null text is empty and stays null; null doc_ids rank first; rows equal in doc_id and text are one document, with the same
+result for each; where a run overlaps its own first occurrence, the first occurrence stays whole; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import substrings
-from .common import materialize
+from .common import join_repeated, materialize
 
 WINDOW = 50
+#: Code points that make a line a unit where it has few words: tables, code, unbroken runs.
+LONG = 400
 GRAM = 26
+#: Lists of documents to cut are broadcast up to this many; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Thai to Lao, Burmese, Khmer, kana, Han: first and last code points.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -35,12 +41,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(text: str, gone: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of a text's words, without those in the spans gone."""
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of a text's words."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     ink = (c != 32) & ((c < 9) | (c > 13))
-    for a, b in gone:
-        ink[a:b] = False
     if not ink.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first, last = ink.copy(), ink.copy()
@@ -64,11 +68,19 @@ def words(text: str, gone: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.n
     return starts, ends, mixed(np.add.reduceat(mixed(letters + (place << np.uint64(21)) + np.uint64(1)), offsets))
 
 
-@lru_cache(maxsize=4)
+_held: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers modulo 2**64; those of usual texts are kept."""
+    out = _held.get(base)
+    if out is None or len(out) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n <= 1 << 18:
+            _held[base] = out
+    return out[:n]
 
 
 def runs(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -89,12 +101,8 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.minimum(least[: len(least) - (wanted - width)], least[wanted - width :])
 
 
-def _spans(values) -> list[tuple[int, int]]:
-    return [(x["start"], x["end"]) for x in values or []]
-
-
 def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame:
-    """doc_id and h of source's rows beside the columns that found(text, spans, further) gives as arrays."""
+    """doc_id and h of source's rows (doc_id, h, text, further) beside the columns that found(text, further) gives as arrays."""
     schema = T.StructType([source.schema["doc_id"], T.StructField("h", T.LongType()), *fields])
 
     def emit(batches):
@@ -102,7 +110,7 @@ def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame
             at, held, n = [], [[] for _ in fields], 0
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py() or ""
-                columns = found(text, _spans(batch.column(3)[i].as_py()), batch.column(4)[i].values) if len(text) >= WINDOW else None
+                columns = found(text, batch.column(3)[i].values if batch.num_columns > 3 else None) if len(text) >= WINDOW else None
                 if columns is not None and len(columns[0]):
                     at.append(np.full(len(columns[0]), i))
                     for c, v in zip(held, columns, strict=True):
@@ -116,8 +124,8 @@ def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame
     return source.mapInArrow(emit, schema)
 
 
-def _own_anchors(text, gone, _):
-    hashes = words(text, gone)[2]
+def _own_anchors(text, _):
+    hashes = words(text)[2]
     if len(hashes) < WINDOW:
         return None
     grams, least = anchors(hashes)
@@ -126,8 +134,8 @@ def _own_anchors(text, gone, _):
     return used.view(np.int64), np.minimum(counts[np.searchsorted(values, used)], 2).astype(np.int64)
 
 
-def _own_runs(text, gone, repeated):
-    starts, ends, hashes = words(text, gone)
+def _own_runs(text, repeated):
+    starts, ends, hashes = words(text)
     least = anchors(hashes)[1]
     at = np.flatnonzero(np.isin(least.view(np.int64), repeated.to_numpy()))
     digests = (runs(hashes, WINDOW, _BASES[1])[at], runs(mixed(hashes + np.uint64(1)), WINDOW, _BASES[0])[at])
@@ -140,16 +148,14 @@ def _by_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_runs(source: DataFrame) -> DataFrame:
-    """doc_id, h, runs (start, end): what to remove from source's rows (doc_id, h, text, spans), where there is something."""
-    none = F.lit(None).cast("array<bigint>").alias("further")
-    found = materialize(_emitted(source.select("doc_id", "h", "text", "spans", none), [T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())], _own_anchors), "anchors")
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    held = found.join(repeated, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("further"))
+    """doc_id, h, runs (start, end): what to remove from source's rows (doc_id, h, text), where there is something."""
+    found = materialize(_emitted(source, [T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())], _own_anchors), "anchors")
+    repeated = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors-repeated")
+    held = join_repeated(found.select("doc_id", "h", "anchor"), repeated, ["anchor"]).groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("further"))
     fields = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("d0", T.LongType()), T.StructField("d1", T.LongType())]
-    rows = _by_document(source, held, "inner").select("doc_id", "h", "text", "spans", "further")
-    placed = materialize(_emitted(rows, fields, _own_runs), "runs")
-    kept = placed.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d0", "d1", "first")
-    lost = placed.join(kept, ["d0", "d1"])
+    placed = materialize(_emitted(_by_document(source, held, "inner"), fields, _own_runs), "runs")
+    kept = materialize(placed.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs-kept")
+    lost = join_repeated(placed, kept, ["d0", "d1"])
     same = F.struct("doc_id", "h").eqNullSafe(F.struct(F.col("first.doc_id"), F.col("first.h")))
     start = F.when(same, F.greatest("start", "first.end")).otherwise(F.col("start"))
     lost = lost.where(~(same & (F.col("start") == F.col("first.start")))).select("doc_id", "h", start.alias("start"), "end").where("start < end")
@@ -160,53 +166,44 @@ def merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they overlap, without leading blanks of a cut run."""
     out = []
     for a, b in sorted(spans):
+        a += len(text[a:b]) - len(text[a:b].lstrip(" \t\n\v\f\r"))
+        if a >= b:
+            continue
         if out and a < out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a + len(text[a:b]) - len(text[a:b].lstrip(" \t\n\v\f\r")) if text[a:b].strip(" \t\n\v\f\r") else a, b) for a, b in out]
+    return [(a, b) for a, b in out]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without merged spans; a line that goes whole takes along what parted it from the line before."""
-    inside = np.zeros(len(text) + 1, bool)
-    for a, b in spans:
-        inside[a:b] = True
-    out, at = [], 0
-    for k, (a, b) in enumerate(substrings.pieces(text)):
-        if a < b and inside[a:b].all():
-            continue
-        if out and k and not inside[a - 1]:
-            out.append(text[a - 1])
-        at = a
-        for x, y in spans:
-            if x < b and y > a:
-                out.append(text[at : max(x, at)])
-                at = min(y, b)
-        out.append(text[at:b])
-    return "".join(out)
+    """The text without merged spans."""
+    begins, ends = [0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]
+    return "".join(text[a:b] for a, b in zip(begins, ends, strict=True))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text (without repeated lines and runs), n_removed, removed_chars, spans (array of start and end)."""
-    plain = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = substrings.repeated_spans(docs, min_chars=substrings.MIN_CHARS).select("doc_id", "h", F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("spans"))
-    source = materialize(_by_document(source, lines, "left"), "passages")
-    both = _by_document(source, repeated_runs(source), "left").select("doc_id", "text", "spans", "runs")
-    schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", plain)])
+    lines = substrings.repeated_places(docs, min_words=WINDOW, min_chars=LONG).select("doc_id", "h", "places", F.lit(None).cast(substrings.SPANS).alias("runs"))
+    both = lines.unionByName(repeated_runs(source).withColumn("places", F.lit(None).cast("array<int>")))
+    gone = materialize(both.groupBy("doc_id", "h").agg(F.max("places").alias("places"), F.max("runs").alias("runs")), "passages")
+    few = gone.count() <= BROADCAST_ROWS
+    both = _by_document(source, F.broadcast(gone) if few else gone, "left").select("doc_id", "text", "places", "runs")
+    schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", substrings.SPANS)])
 
     def cut(batches):
         for batch in batches:
-            texts, places = [], []
-            for value, gone, more in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text, gone = value.as_py(), _spans(gone.as_py()) + _spans(more.as_py())
+            texts, spans = [], []
+            for value, places, more in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                text, places, more = value.as_py(), places.as_py(), more.as_py()
+                gone = [(x["start"], x["end"]) for x in more or []]
+                if places:
+                    whole = substrings.pieces(text)
+                    gone += [whole[k] for k in places]
                 gone = merged(text, gone) if gone else []
                 texts.append(without(text, gone) if gone else text)
-                places.append(gone)
-            counts, sizes = [len(x) for x in places], [sum(b - a for a, b in x) for x in places]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            held = pa.array([[{"start": a, "end": b} for a, b in x] for x in places], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), held], names=schema.names)
+                spans.append(gone)
+            yield substrings.span_rows(batch.column(0), texts, spans, schema)
 
     return both.mapInArrow(cut, schema)

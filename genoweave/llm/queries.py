@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, substrings, tiff, url_filter
+from . import chat, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, tiff, url_filter
 from .common import read
 
 
@@ -31,19 +31,12 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-def _with_spans(found: DataFrame) -> DataFrame:
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_passages(read(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select("doc_id", "n_removed", "removed_chars", spans.alias("spans"), "text")
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_spans(passages.without_passages(read(spark, sf_dir, "documents")))
-
-
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_spans(substrings.without_repeats(read(spark, sf_dir, "documents")))
-
-
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -73,16 +66,29 @@ FROM turns JOIN kept USING (conv_id) GROUP BY ALL
 """
 
 _BLANK = "[\\x20\\x09-\\x0D]"
+_UNSPACED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in passages.UNSPACED)
+_WORDS = f"[{_UNSPACED}]|[^\\x20\\x09-\\x0D{_UNSPACED}]+"
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP6_SQL = f"""
-WITH lines AS (SELECT doc_id, place, line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(ls) AS line, generate_subscripts(ls, 1) AS place)),
-placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS s,
-    translate(regexp_replace(regexp_replace(line, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form FROM lines),
-marked AS (SELECT *, form <> '' AND length(form) - length(replace(form, ' ', '')) + 1 >= {substrings.MIN_WORDS} AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS FIRST, place) > 1 AS lost FROM placed),
-kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lost ORDER BY place) AS k FROM marked)
-SELECT d.doc_id, count(*) FILTER (lost) AS n_removed, coalesce(sum(length(line)) FILTER (lost), 0)::BIGINT AS removed_chars,
-  coalesce(string_agg(s::BIGINT || ':' || (s + length(line))::BIGINT, ',' ORDER BY place) FILTER (lost), '') AS spans,
-  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '') END AS text
-FROM documents d JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+WITH cut AS (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS ws, string_split_regex(text, '{_WORDS}') AS gaps FROM documents WHERE text <> ''),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, generate_subscripts(ws, 1) AS i FROM cut),
+spot AS (SELECT doc_id, i, {_FOLDED.format('w')} AS w, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(w) AS size FROM word),
+run AS (SELECT doc_id, i, e - size AS s, lead(e, {passages.WINDOW - 1}) OVER d AS e, md5(string_agg(w, ' ') OVER (d ROWS BETWEEN CURRENT ROW AND {passages.WINDOW - 1} FOLLOWING)) AS run FROM spot WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, row_number() OVER r AS k, first(doc_id) OVER r AS d0, first(e) OVER r AS e0 FROM run WHERE e IS NOT NULL WINDOW r AS (PARTITION BY run ORDER BY doc_id, i)),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+forms AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS s, {_FOLDED.format(f"regexp_replace(regexp_replace(line, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g')")} AS form FROM lines),
+gone AS (
+  SELECT doc_id, CASE WHEN doc_id = d0 THEN greatest(s, e0) ELSE s END AS s, e FROM placed WHERE k > 1
+  UNION ALL
+  SELECT doc_id, s, s + length(line) FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, place) AS k FROM forms
+    WHERE length(form) - length(replace(form, ' ', '')) + 1 >= {passages.WINDOW} OR length(form) >= {passages.LONG}) WHERE k > 1),
+trimmed AS (SELECT g.doc_id, s + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS s, e FROM (SELECT g.*, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS part FROM gone g JOIN documents USING (doc_id) WHERE s < e) g),
+steps AS (SELECT *, s >= coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM trimmed WHERE s < e),
+islands AS (SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS no FROM steps) GROUP BY doc_id, no),
+kept AS (SELECT i.doc_id, s, e, substr(text, (1 + coalesce(lag(e) OVER d, 0))::BIGINT, (s - coalesce(lag(e) OVER d, 0))::BIGINT) AS part, CASE WHEN lead(s) OVER d IS NULL THEN substr(text, e + 1) ELSE '' END AS tail FROM islands i JOIN documents USING (doc_id) WINDOW d AS (PARTITION BY i.doc_id ORDER BY s)),
+per AS (SELECT doc_id, count(*) AS n, sum(e - s) AS chars, string_agg(s || ':' || e, ',' ORDER BY s) AS spans, string_agg(part || tail, '' ORDER BY s) AS rest FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_removed, coalesce(chars, 0)::BIGINT AS removed_chars, coalesce(spans, '') AS spans, CASE WHEN n > 0 THEN rest ELSE text END AS text
+FROM documents LEFT JOIN per USING (doc_id)
 """
 
 OP4_SQL = """
@@ -182,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op6_line_dedup": OP6_SQL, "op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_source_mix": OP10_SQL}
+    return {"op3_chat_format": OP3_SQL, "op6_passage_dedup": OP6_SQL, "op4_exact_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_source_mix": OP10_SQL}

@@ -1,4 +1,4 @@
-"""Substring deduplication by line hashing.
+"""Substring deduplication by line or paragraph hashing.
 
 A unit is a line (or a paragraph: lines up to an empty one) of at least ``MIN_WORDS`` words. Units are normalised (A-Z lower-cased, blanks
 collapsed and trimmed) and hashed to 128 bits; of equal units of the whole table the earliest stays, in order of doc_id, then place,
@@ -11,7 +11,6 @@ the same result for each; units with fewer words are never removed, unless ``min
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -19,95 +18,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fold_az, join_repeated, materialize
 
 MIN_WORDS = 5
-#: Code points that make up for words where callers ask for it.
-MIN_CHARS = 40
-_BLANKS = re.compile(r"[\x20\x09-\x0D]+")
-_LINE, _PARAGRAPH = re.compile(r"\n"), re.compile(r"\n[\x20\x09-\x0D]*\n")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ROWS = 20_000
+_BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09-\x0D]*\n"}
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def pieces(text: str, unit: str = "line") -> list[tuple[int, int]]:
     """Spans of a text's units; what parts two units belongs to neither."""
     out, at = [], 0
-    for m in (_LINE if unit == "line" else _PARAGRAPH).finditer(text):
+    for m in re.finditer(_BREAKS[unit], text):
         out.append((at, m.start()))
         at = m.end()
     return [*out, (at, len(text))]
 
 
-def normal_form(piece: str) -> str:
-    return _BLANKS.sub(" ", piece).strip(" ").translate(_LOWER)
-
-
 def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
-    """doc_id, h (hash of the text), place, start, end, digest of each unit that has enough words or, where min_chars is given, code points."""
-    source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    names = ["doc_id", "h", "place", "start", "end", "digest"]
-    schema = T.StructType([source.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("digest", T.BinaryType())])
-
-    def split(batches):
-        for batch in batches:
-            held = [[] for _ in range(5)]
-
-            def flush(batch=batch):
-                at = pa.array(held[0], pa.int64())
-                out = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in held[1:4]), pa.array(held[4], pa.binary())]
-                for c in held:
-                    c.clear()
-                return pa.RecordBatch.from_arrays(out, names=names)
-
-            for i, value in enumerate(batch.column(2)):
-                text = value.as_py() or ""
-                for place, (a, b) in enumerate(pieces(text, unit)):
-                    form = normal_form(text[a:b])
-                    if form and (form.count(" ") + 1 >= min_words or (min_chars is not None and len(form) >= min_chars)):
-                        for c, v in zip(held, (i, place, a, b, hashlib.blake2b(form.encode(), digest_size=16).digest()), strict=True):
-                            c.append(v)
-                if len(held[0]) >= ROWS:
-                    yield flush()
-            if held[0]:
-                yield flush()
-
-    return source.mapInArrow(split, schema)
-
-
-def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
-    """doc_id, h, spans: the places of each document's removed units, for documents that have some."""
+    """doc_id, h (hash of the text), place, digest of each unit that has enough words or, where min_chars is given, code points."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", _BREAKS[unit], -1)).alias("place", "line"))
+    # n words have 2 n - 1 code points at least: most units leave here
+    lines = lines.where(F.length("line") >= min(2 * min_words - 1, min_chars or 2 * min_words))
+    rows = lines.select("doc_id", "h", "place", F.trim(F.regexp_replace(fold_az(F.col("line")), r"[\x20\x09-\x0D]+", " ")).alias("form"))
+    enough = (F.col("form") != "") & (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1 >= min_words)
+    if min_chars is not None:
+        enough = enough | (F.length("form") >= min_chars)
+    return rows.where(enough).select("doc_id", "h", "place", F.unhex(F.md5(F.col("form").cast("binary"))).alias("digest"))
+
+
+def repeated_places(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
+    """doc_id, h, places: the units of each document that are removed, for documents that have some."""
     found = materialize(units(docs, unit, min_words, min_chars), "units")
     first = F.min(F.struct("doc_id", "h", "place")).alias("first")
-    kept = found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    lost = found.join(kept, "digest").where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end", "place"))).alias("spans"))
+    kept = materialize(found.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1"), "units-kept")
+    lost = join_repeated(found, kept, ["digest"]).where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
 def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """One row per document: doc_id, text (without removed units), n_removed, removed_chars, spans (array of start and end)."""
-    spans = repeated_spans(docs, unit, min_words, min_chars).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["place"])).alias("spans"))
+    lost = repeated_places(docs, unit, min_words, min_chars).withColumnsRenamed({"doc_id": "s_id", "h": "s_h"})
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    both = source.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "text", "spans")
-    plain = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", plain)])
+    both = source.join(lost, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "text", "places")
+    schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", SPANS)])
 
     def cut(batches):
         for batch in batches:
-            texts, counts, sizes, places = [], [], [], []
+            texts, spans = [], []
             for value, gone in zip(batch.column(1), batch.column(2), strict=True):
                 text, gone = value.as_py(), gone.as_py() or []
+                spans.append([])
                 if gone:
-                    lost = {x["place"] for x in gone}
-                    all_pieces = pieces(text, unit)
-                    kept = [k for k in range(len(all_pieces)) if k not in lost]
+                    lost, whole = set(gone), pieces(text, unit)
+                    spans[-1] = [whole[k] for k in gone]
+                    kept = [k for k in range(len(whole)) if k not in lost]
                     # a kept unit brings along what parted it from the unit before it
-                    text = "".join(text[(all_pieces[k - 1][1] if k and n else all_pieces[k][0]) : all_pieces[k][1]] for n, k in enumerate(kept))
+                    text = "".join(text[(whole[k - 1][1] if k and n else whole[k][0]) : whole[k][1]] for n, k in enumerate(kept))
                 texts.append(text)
-                counts.append(len(gone))
-                sizes.append(sum(x["end"] - x["start"] for x in gone))
-                places.append([{"start": x["start"], "end": x["end"]} for x in gone])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, kind)], names=schema.names)
+            yield span_rows(batch.column(0), texts, spans, schema)
 
     return both.mapInArrow(cut, schema)
+
+
+def span_rows(ids: pa.Array, texts: list, spans: list[list[tuple[int, int]]], schema: T.StructType) -> pa.RecordBatch:
+    """Rows of doc_id, text, n_removed, removed_chars, spans."""
+    counts, sizes = [len(x) for x in spans], [sum(b - a for a, b in x) for x in spans]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    held = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
+    return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), held], names=schema.names)

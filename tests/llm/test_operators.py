@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoweave.llm import chat, components, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, shingles, substrings, tiff, url_filter
+from genoweave.llm import chat, common, components, exact_dedup, mixing, near_dup, packing, passages, quality, secrets, shingles, substrings, tiff, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -470,19 +470,30 @@ def test_passages_beside_lines(spark):
     han = "".join(chr(0x4E00 + k) for k in range(60))
     rows += [(2, f"甲{han}乙", "", "", 0), (3, f"丙丁{han}戊", "", "", 0)]
     got = {r.doc_id: r.text for r in passages.without_passages(frame(spark, rows)).collect()}
-    assert got == {0: rows[0][1], 1: "x\nstart  end", 2: rows[2][1], 3: "丙丁戊"}
+    assert got == {0: rows[0][1], 1: f"x\n{line}\nstart  end", 2: rows[2][1], 3: "丙丁戊"}  # a short line stays, however common
 
 
 def test_long_lines_of_few_words(spark):
-    han, run, short = "".join(chr(0x4E00 + k) for k in range(45)), "x" * 60, "four words stay here"
+    han, run, short = "".join(chr(0x4E00 + k) for k in range(40)), "x" * passages.LONG, "four words stay here"
     rows = [(k, f"{k}\n{han}\n{run}\n{short}", "", "", 0) for k in range(2)]
-    kept = {0: rows[0][1], 1: f"1\n{short}"}
     df = frame(spark, rows)
-    assert {r.doc_id: r.text for r in substrings.without_repeats(df, min_chars=substrings.MIN_CHARS).collect()} == kept
-    assert {r.doc_id: r.text for r in passages.without_passages(df).collect()} == kept
+    assert {r.doc_id: r.text for r in substrings.without_repeats(df, min_chars=40).collect()} == {0: rows[0][1], 1: f"1\n{short}"}
+    assert {r.doc_id: r.text for r in passages.without_passages(df).collect()} == {0: rows[0][1], 1: f"1\n{han}\n\n{short}"}
     assert {r.doc_id: r.n_removed for r in substrings.without_repeats(df).collect()} == {0: 0, 1: 0}
 
 
+def test_hot_units(spark, monkeypatch):
+    """A line and a passage that a third of the rows hold are joined apart from the rest, with the same result."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"u{k} " + (f"{passage}\nin a line: {passage} x{k}" if k % 3 == 0 else " ".join(f"v{rng.randint(0, 10**9)}" for _ in range(60))), "", "", 0) for k in range(90)]
+    rows += [(100 + k, f"{passage} q{k % 2} " + " ".join(f"z{j + k // 2}" for j in range(70)), "", "", 0) for k in range(4)]
+    whole = {r.doc_id: (r.text, r.n_removed) for r in passages.without_passages(frame(spark, rows)).collect()}
+    monkeypatch.setattr(common, "HOT", 20)
+    assert whole == {r.doc_id: (r.text, r.n_removed) for r in passages.without_passages(frame(spark, rows)).collect()}
+    assert whole[0] == (f"u0 {passage}\nin a line:  x0", 1) and whole[1] == (rows[1][1], 0) and whole[3] == ("u3  x3", 1)
+
+
 # ---- chat ----
 
 
