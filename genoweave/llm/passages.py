@@ -1,6 +1,6 @@
 """Substring deduplication by line hashing, and of every repeated run of ``WINDOW`` words within lines.
 
-Two kinds of units go. Lines of ``WINDOW`` words, or of ``LONG`` code points whatever their words, are normalised, hashed and grouped as in
+Three kinds of units go. Whole texts that an earlier doc_id has already go first. Lines of ``WINDOW`` words, or of ``LONG`` code points whatever their words, are normalised, hashed and grouped as in
 ``substrings``. That can't see a passage inside a longer line, or one that is broken otherwise; so of equal runs of ``WINDOW`` words
 (A-Z lower-cased, whatever blanks lie between, line ends too) the earliest stays as well, in order of doc_id, then place, and the others
 are removed. In scripts without blanks each letter counts as a word. Only runs that hold a repeated anchor are compared: the anchor is the
@@ -14,6 +14,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import substrings
-from .common import join_repeated, materialize
+from .common import join_repeated, materialize, tidy
 
 WINDOW = 50
-#: Code points that make a line a unit where it has few words: tables, code, unbroken runs.
+#: Code points, blanks apart, that make a line a unit where it has few words: tables, code, unbroken runs.
 LONG = 400
 GRAM = 26
 #: Lists of documents to cut are broadcast up to this many; longer ones are joined by a shuffle.
@@ -102,7 +104,7 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame:
-    """doc_id and h of source's rows (doc_id, h, text, further) beside the columns that found(text, further) gives as arrays."""
+    """doc_id and h of source's rows (doc_id, h, text, arrays) beside the columns that found(text, *arrays) gives as arrays."""
     schema = T.StructType([source.schema["doc_id"], T.StructField("h", T.LongType()), *fields])
 
     def emit(batches):
@@ -110,7 +112,7 @@ def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame
             at, held, n = [], [[] for _ in fields], 0
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py() or ""
-                columns = found(text, batch.column(3)[i].values if batch.num_columns > 3 else None) if len(text) >= WINDOW else None
+                columns = found(text, *(c[i].values for c in batch.columns[3:])) if len(text) >= WINDOW else None
                 if columns is not None and len(columns[0]):
                     at.append(np.full(len(columns[0]), i))
                     for c, v in zip(held, columns, strict=True):
@@ -124,7 +126,7 @@ def _emitted(source: DataFrame, fields: list[T.StructField], found) -> DataFrame
     return source.mapInArrow(emit, schema)
 
 
-def _own_anchors(text, _):
+def _own_anchors(text):
     hashes = words(text)[2]
     if len(hashes) < WINDOW:
         return None
@@ -134,32 +136,54 @@ def _own_anchors(text, _):
     return used.view(np.int64), np.minimum(counts[np.searchsorted(values, used)], 2).astype(np.int64)
 
 
-def _own_runs(text, repeated):
+def _own_runs(text, repeated, lost):
     starts, ends, hashes = words(text)
     least = anchors(hashes)[1]
-    at = np.flatnonzero(np.isin(least.view(np.int64), repeated.to_numpy()))
+    wanted = np.isin(least.view(np.int64), repeated.to_numpy())
+    if lost is not None and len(lost):
+        # a run inside one lost line goes with it; the line's earlier copy has the run too
+        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
+        first, last = (np.searchsorted(breaks, x) for x in (starts[: len(least)], starts[WINDOW - 1 :]))
+        wanted &= (first != last) | ~np.isin(first, lost.to_numpy())
+    at = np.flatnonzero(wanted)
     digests = (runs(hashes, WINDOW, _BASES[1])[at], runs(mixed(hashes + np.uint64(1)), WINDOW, _BASES[0])[at])
     return starts[at].astype(np.int32), ends[at + WINDOW - 1].astype(np.int32), *(d.view(np.int64) for d in digests)
 
 
-def _by_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+def _by_document(left: DataFrame, right: DataFrame, how: str, few: bool = False) -> DataFrame:
     right = right.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"})
+    right = F.broadcast(right) if few else right
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), how).drop("s_id", "s_h")
 
 
-def repeated_runs(source: DataFrame) -> DataFrame:
-    """doc_id, h, runs (start, end): what to remove from source's rows (doc_id, h, text), where there is something."""
+def later_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, h of the documents whose whole text stands under an earlier doc_id."""
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")), "texts")
+    kept = materialize(rows.groupBy("h", "h2").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1"), "texts-kept")
+    return materialize(join_repeated(rows, kept, ["h", "h2"]).where(~F.struct("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h").distinct(), "texts-copies")
+
+
+def repeated_runs(source: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, h, runs (start, end): what to remove from source's rows (doc_id, h, text) besides lines (doc_id, h, places)."""
     found = materialize(_emitted(source, [T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())], _own_anchors), "anchors")
     repeated = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors-repeated")
     held = join_repeated(found.select("doc_id", "h", "anchor"), repeated, ["anchor"]).groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("further"))
+    # rows are written in order: their numbers rank documents by doc_id, null first, then h
+    held = materialize(_by_document(held, lines, "left").orderBy("doc_id", "h").withColumn("rank", F.monotonically_increasing_id()), "anchors-held")
+    tidy(source.sparkSession)
+    few = held.count() <= BROADCAST_ROWS
+    some = _by_document(source, held.select("doc_id", "h"), "left_semi", few) if few else source
+    rows = _by_document(some, held, "inner").select(F.col("rank").alias("doc_id"), "h", "text", "further", "places")
     fields = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("d0", T.LongType()), T.StructField("d1", T.LongType())]
-    placed = materialize(_emitted(_by_document(source, held, "inner"), fields, _own_runs), "runs")
-    kept = materialize(placed.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "h", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs-kept")
-    lost = join_repeated(placed, kept, ["d0", "d1"])
-    same = F.struct("doc_id", "h").eqNullSafe(F.struct(F.col("first.doc_id"), F.col("first.h")))
+    placed = materialize(_emitted(rows, fields, _own_runs).drop("h").withColumnRenamed("doc_id", "rank"), "runs")
+    tidy(source.sparkSession)
+    kept = materialize(placed.groupBy("d0", "d1").agg(F.min(F.struct("rank", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs-kept")
+    tidy(source.sparkSession)
+    same = F.col("rank") == F.col("first.rank")
     start = F.when(same, F.greatest("start", "first.end")).otherwise(F.col("start"))
-    lost = lost.where(~(same & (F.col("start") == F.col("first.start")))).select("doc_id", "h", start.alias("start"), "end").where("start < end")
-    return lost.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    lost = join_repeated(placed, kept, ["d0", "d1"]).where(~(same & (F.col("start") == F.col("first.start")))).select("rank", start.alias("start"), "end").where("start < end")
+    lost = lost.groupBy("rank").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    return held.select("doc_id", "h", "rank").join(lost, "rank").drop("rank")
 
 
 def merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -185,19 +209,27 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def without_passages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text (without repeated lines and runs), n_removed, removed_chars, spans (array of start and end)."""
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    lines = substrings.repeated_places(docs, min_words=WINDOW, min_chars=LONG).select("doc_id", "h", "places", F.lit(None).cast(substrings.SPANS).alias("runs"))
-    both = lines.unionByName(repeated_runs(source).withColumn("places", F.lit(None).cast("array<int>")))
-    gone = materialize(both.groupBy("doc_id", "h").agg(F.max("places").alias("places"), F.max("runs").alias("runs")), "passages")
-    few = gone.count() <= BROADCAST_ROWS
-    both = _by_document(source, F.broadcast(gone) if few else gone, "left").select("doc_id", "text", "places", "runs")
+    lines = materialize(substrings.repeated_places(docs, min_words=WINDOW, min_chars=LONG), "passage-lines")
+    copies = later_copies(docs)
+    # all runs of a later copy of a whole text are repeated: the others' are looked for
+    fresh = _by_document(source, copies, "left_anti", copies.count() <= BROADCAST_ROWS)
+    parts = [("places", "array<int>", lines), ("runs", substrings.SPANS, repeated_runs(fresh, lines)), ("whole", "boolean", copies.withColumn("whole", F.lit(True)))]
+    columns = lambda own: [F.col(n) if n == own else F.lit(None).cast(t).alias(n) for n, t, _ in parts]
+    both = reduce(DataFrame.unionByName, [df.select("doc_id", "h", *columns(n)) for n, _, df in parts])
+    gone = materialize(both.groupBy("doc_id", "h").agg(*[F.max(n).alias(n) for n, _, _ in parts]), "passages")
+    tidy(docs.sparkSession)
+    both = _by_document(source, gone, "left", gone.count() <= BROADCAST_ROWS).select("doc_id", "text", *[n for n, _, _ in parts])
     schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", substrings.SPANS)])
 
     def cut(batches):
         for batch in batches:
             texts, spans = [], []
-            for value, places, more in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text, places, more = value.as_py(), places.as_py(), more.as_py()
+            for row in zip(*batch.columns[1:], strict=True):
+                text, places, more, all_ = (x.as_py() for x in row)
                 gone = [(x["start"], x["end"]) for x in more or []]
+                if all_ and text:
+                    begins, ends, _ = words(text)
+                    gone += [(int(begins[0]), int(ends[-1]))] if len(begins) >= WINDOW else []
                 if places:
                     whole = substrings.pieces(text)
                     gone += [whole[k] for k in places]

@@ -81,7 +81,7 @@ gone AS (
   SELECT doc_id, CASE WHEN doc_id = d0 THEN greatest(s, e0) ELSE s END AS s, e FROM placed WHERE k > 1
   UNION ALL
   SELECT doc_id, s, s + length(line) FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, place) AS k FROM forms
-    WHERE length(form) - length(replace(form, ' ', '')) + 1 >= {passages.WINDOW} OR length(form) >= {passages.LONG}) WHERE k > 1),
+    WHERE length(form) - length(replace(form, ' ', '')) + 1 >= {passages.WINDOW} OR length(replace(form, ' ', '')) >= {passages.LONG}) WHERE k > 1),
 trimmed AS (SELECT g.doc_id, s + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS s, e FROM (SELECT g.*, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS part FROM gone g JOIN documents USING (doc_id) WHERE s < e) g),
 steps AS (SELECT *, s >= coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM trimmed WHERE s < e),
 islands AS (SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS no FROM steps) GROUP BY doc_id, no),

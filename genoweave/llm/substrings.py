@@ -6,7 +6,7 @@ and all others are removed. Spans are code points of the original text, end excl
 
 Defined results: null text is empty and stays null; null doc_ids rank first; rows equal in doc_id and text are one document, with
 the same result for each; units with fewer words are never removed, unless ``min_chars`` is given and they have so many code points
-(scripts without blanks, long unbroken runs); an empty table gives an empty result; further columns are ignored.
+other than blanks (scripts without blanks, long unbroken runs); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_az, join_repeated, materialize
+from .common import WORD, fold_az, join_repeated, materialize
 
 MIN_WORDS = 5
 _BREAKS = {"line": r"\n", "paragraph": r"\n[\x20\x09-\x0D]*\n"}
@@ -39,11 +39,11 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_c
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", _BREAKS[unit], -1)).alias("place", "line"))
     # n words have 2 n - 1 code points at least: most units leave here
     lines = lines.where(F.length("line") >= min(2 * min_words - 1, min_chars or 2 * min_words))
-    rows = lines.select("doc_id", "h", "place", F.trim(F.regexp_replace(fold_az(F.col("line")), r"[\x20\x09-\x0D]+", " ")).alias("form"))
-    enough = (F.col("form") != "") & (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1 >= min_words)
+    enough = F.regexp_count("line", F.lit(WORD)) >= min_words
     if min_chars is not None:
-        enough = enough | (F.length("form") >= min_chars)
-    return rows.where(enough).select("doc_id", "h", "place", F.unhex(F.md5(F.col("form").cast("binary"))).alias("digest"))
+        enough = enough | (F.length(F.translate("line", " \t\n\v\f\r", "")) >= min_chars)
+    form = F.trim(F.regexp_replace(fold_az(F.col("line")), r"[\x20\x09-\x0D]+", " "))
+    return lines.where(enough).select("doc_id", "h", "place", F.unhex(F.md5(form.cast("binary"))).alias("digest"))
 
 
 def repeated_places(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
