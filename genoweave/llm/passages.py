@@ -29,7 +29,7 @@ WINDOW = 50
 #: Code points, blanks apart, that make a line a unit where it has few words: tables, code, unbroken runs.
 LONG = 400
 GRAM = 26
-#: Lists of documents to cut are broadcast up to this many; longer ones are joined by a shuffle.
+#: Lists of documents are broadcast up to this many (with spans: up to four times as many of both); longer ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Thai to Lao, Burmese, Khmer, kana, Han: first and last code points.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
@@ -182,10 +182,30 @@ def repeated_runs(source: DataFrame, lines: DataFrame) -> DataFrame:
     same = F.col("rank") == F.col("first.rank")
     start = F.when(same, F.greatest("start", "first.end")).otherwise(F.col("start"))
     lost = join_repeated(placed, kept, ["d0", "d1"]).where(~(same & (F.col("start") == F.col("first.start")))).select("rank", start.alias("start"), "end").where("start < end")
-    lost = lost.groupBy("rank").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    lost = lost.groupBy("rank").agg(F.collect_set(F.struct("start", "end")).alias("runs")).mapInArrow(_joined_up, T.StructType([T.StructField("rank", T.LongType()), T.StructField("runs", substrings.SPANS)]))
     return held.select("doc_id", "h", "rank").join(lost, "rank").drop("rank")
 
 
+def _joined_up(batches):
+    """Each row's spans, joined where they overlap."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets, spans = lists.offsets.to_numpy(), lists.values
+        start, end = (spans.field(k).to_numpy() for k in range(2))
+        owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        start, end = start[offsets[0] : offsets[-1]].astype(np.int64), end[offsets[0] : offsets[-1]].astype(np.int64)
+        order = np.lexsort((start, owner))
+        owner, start, end = owner[order], start[order], end[order]
+        # ends of different rows are kept apart by the row's number in the high bits
+        top = np.maximum.accumulate((owner << 32) + end)
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] << 32) + start[1:] >= top[:-1]
+        at = np.flatnonzero(new)
+        values = pa.StructArray.from_arrays([pa.array(start[at].astype(np.int32)), pa.array((np.maximum.reduceat((owner << 32) + end, at) & 0xFFFFFFFF).astype(np.int32))], names=["start", "end"])
+        bounds = np.searchsorted(owner[at], np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["rank", "runs"])
+
+
 def merged(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans joined where they overlap, without leading blanks of a cut run."""
     out = []
@@ -218,7 +238,8 @@ def without_passages(docs: DataFrame) -> DataFrame:
     both = reduce(DataFrame.unionByName, [df.select("doc_id", "h", *columns(n)) for n, _, df in parts])
     gone = materialize(both.groupBy("doc_id", "h").agg(*[F.max(n).alias(n) for n, _, _ in parts]), "passages")
     tidy(docs.sparkSession)
-    both = _by_document(source, gone, "left", gone.count() <= BROADCAST_ROWS).select("doc_id", "text", *[n for n, _, _ in parts])
+    size = gone.agg(F.sum(1 + F.greatest(F.size("places"), F.lit(0)) + F.greatest(F.size("runs"), F.lit(0)))).first()[0] or 0
+    both = _by_document(source, gone, "left", size <= 4 * BROADCAST_ROWS).select("doc_id", "text", *[n for n, _, _ in parts])
     schema = T.StructType([source.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_chars", T.LongType()), T.StructField("spans", substrings.SPANS)])
 
     def cut(batches):
