@@ -21,6 +21,8 @@ from .common import fold_az, materialize
 TOP, TRACKED = 128, 1024
 #: A verified digest is settled map-side when it has at least this many rows.
 MIN_HOT = 32
+#: Rows to leave out are broadcast up to this many; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Summaries are combined in this many groups before the last one.
 FAN_IN = 128
 
@@ -60,9 +62,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies; columns and whole texts unchanged."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
+    """docs without the copies; columns and whole texts unchanged. Texts are only shuffled when over ``BROADCAST_ROWS`` rows go."""
+    rows = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1")
+    marks = materialize(rows.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), "__stays"), "dedup-marks")
+    few = marks.count() <= BROADCAST_ROWS
     named = docs.withColumn("__d", text_digest())
-    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")))
-    once = Window.partitionBy("__id", "__digest").orderBy("__d")
-    return found.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    found = named.join(F.broadcast(marks) if few else marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left")
+    # rows of one doc_id with equal texts: the largest text stays (they may differ in case), then the largest row
+    once = Window.partitionBy("__id", "__digest").orderBy(F.col("text").desc_nulls_last(), F.xxhash64(*docs.columns))
+    repeated = found.where("__stays").withColumn("__k", F.row_number().over(once)).where("__k = 1")
+    return found.where("__stays is null").select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -5,8 +5,9 @@ by falling size; the search starts at the bin whose residual is the least that s
 shares neither source nor cluster, which is the tightest compatible bin. If there is none, a bin is opened. A document longer than a
 bin fills whole bins of its own, and its rest is placed like any other.
 
-Documents are dealt by a hash of their row into shards of about ``SHARD_ROWS``; a shard is packed in one task, whatever sources and
-clusters hold, and no bin spans two shards.
+Documents are dealt by a hash of doc_id, source and text into shards of half to all of ``SHARD_ROWS``, a power of two of them, so that more rows deal others anew only
+when the shards double and the layout of the files plays no part. A shard is packed in one task, whatever sources and clusters hold; no bin spans two shards.
+A cluster is a set of equal texts (A-Z folded), or what the column ``cluster`` says, such as the component_id of near duplicates.
 
 Defined results: null text has no words; a document without words still takes a place; a null source never conflicts; null and repeated
 doc_ids are placed like others, equal texts conflict; ties in size are broken by doc_id (null first), then text hash; an empty table gives an empty result;
@@ -19,7 +20,7 @@ import math
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,20 +65,23 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
     """One row per placed piece: doc_id, piece, bin_id, slot, start (word in the bin), size, doc_size, source."""
     text = F.coalesce("text", F.lit(""))
-    items = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(fold_az(text)).alias("cluster"))
-    # a copy of a row must not follow it into the same hash of the shard: its number in the partition is hashed too
-    items = materialize(items.withColumn("r", F.monotonically_increasing_id()), "pack-items")
-    shards = max(1, math.ceil(items.count() / shard_rows))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("r", "cluster"), F.lit(shards)).cast("long")).drop("r")
+    own = F.xxhash64(fold_az(text))
+    items = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.xxhash64(cluster) if cluster else own).alias("cluster"), own.alias("own"))
+    items = materialize(items, "pack-items")
+    shards = 1 << max(0, math.ceil(math.log2(max(1, items.count()) / shard_rows)))
+    # a copy of a row must not follow it into the same shard: equal rows are numbered, and it is all one which has which number
+    same = ["doc_id", "source", "own"]
+    dealt = items.withColumn("r", F.row_number().over(Window.partitionBy(*same).orderBy("size")))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(*same, "r"), F.lit(shards)).cast("long")).drop("r", "own")
     schema = T.StructType([items.schema["doc_id"], *(T.StructField(n, t) for n, t in (
         ("piece", T.LongType()), ("bin_id", T.LongType()), ("slot", T.IntegerType()), ("start", T.LongType()), ("size", T.LongType()),
         ("doc_size", T.LongType()), ("source", T.StringType())))])
 
     def place(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["size", "doc_id", "cluster"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
+        shard = shard.sort_values(["size", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="first", kind="stable").reset_index(drop=True)
         sources = [None if pd.isna(x) else x for x in shard["source"]]
         many = shard["cluster"].duplicated(keep=False)
         clusters = [c if m else None for c, m in zip(shard["cluster"], many, strict=True)]

@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are trigrams of byte classes (letters, capitals, digits, blanks, marks, symbols ...) and word forms (length, first
-letter, whether the word repeats the one before). Square-rooted shares, weighted by rarity, are projected on the leading singular vectors of
+A text's terms are its words, hashed to ``WORDS`` buckets, trigrams of byte classes (letters, capitals, digits, blanks, marks, symbols ...) and
+word forms (length, first letter, whether the word repeats the one before). Square-rooted shares of each kind, weighted by rarity, are projected on the leading singular vectors of
 the labelled sample. The sample's unit vectors are broadcast; every document's exact cosines with all of them are computed in
 blocks, and the labels of the nearest ones vote, weighted by similarity. The same counts of both labels are sampled, so a vote isn't
 swayed by how common a label is.
@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from . import shingles
 
-PER_LABEL, DIMENSIONS, TERMS, NEIGHBOURS, SHARPNESS = 1500, 32, 500, 25, 12
-BLOCK = 512
+PER_LABEL, DIMENSIONS, TERMS, NEIGHBOURS, SHARPNESS = 1500, 32, 800, 25, 12
+#: Buckets of words; documents whose terms are counted at once.
+WORDS, BLOCK = 2048, 256
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 11, np.uint8)
@@ -33,37 +34,50 @@ for _kind, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNO
 _KIND[128:] = 10
 _KINDS = 12
 _FORMS = 6 * 2 * 4
-ALL_TERMS = _KINDS**3 + _FORMS
+#: Where each kind of terms begins: trigrams, word forms, words.
+_BOUNDS = (0, _KINDS**3, _KINDS**3 + _FORMS, _KINDS**3 + _FORMS + WORDS)
+ALL_TERMS = _BOUNDS[-1]
 
 
 def term_counts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Documents x terms, float32, of documents that begin at starts in data."""
     m = len(starts)
     out = np.zeros((m, ALL_TERMS), np.float32)
-    if not len(data):
-        return out
-    sizes = np.diff(np.append(starts, len(data)))
-    doc = np.repeat(np.arange(m), sizes)
-    kind = _KIND[data].astype(np.int64)
-    if len(data) > 2:
+    again_from = (np.uint64(0), -1)
+    for a, b in shingles.pieces(data):
+        first = max(0, int(np.searchsorted(starts, a, "right")) - 1)
+        last = int(np.searchsorted(starts, b))
+        again_from = _count(out[first:last], data[a:b], np.maximum(starts[first:last] - a, 0), data[max(0, a - 2) : a] if a > starts[first] else data[:0], again_from if a > starts[first] else None)
+    return out
+
+
+def _count(out: np.ndarray, data: np.ndarray, starts: np.ndarray, before: np.ndarray, word_before) -> tuple:
+    """Adds the counts of a piece; before and word_before are what the first document has ahead of it. The last word's hash."""
+    m = len(starts)
+    whole = np.concatenate([before, data])
+    doc = np.repeat(np.arange(m), np.diff(np.append(starts, len(data))))
+    doc = np.concatenate([np.zeros(len(before), doc.dtype), doc])
+    kind = _KIND[whole].astype(np.int64)
+    if len(whole) > 2:
         code = (kind[:-2] * _KINDS + kind[1:-1]) * _KINDS + kind[2:]
         same = doc[:-2] == doc[2:]
-        counts = np.bincount(doc[:-2][same] * _KINDS**3 + code[same], minlength=m * _KINDS**3)
-        out[:, : _KINDS**3] = counts.reshape(m, -1)
+        out[:, : _BOUNDS[1]] += np.bincount(doc[:-2][same] * _KINDS**3 + code[same], minlength=m * _KINDS**3).reshape(m, -1)
     word, owner = shingles.words(data, starts)
-    if len(word):
-        space = shingles._SPACE[data]
-        before = np.concatenate([[True], space[:-1]])
-        before[starts[(starts > 0) & (starts < len(data))]] = True
-        at = np.flatnonzero(~space & before)
-        length = np.add.reduceat((~space).astype(np.int64), at)
-        bucket = np.searchsorted([3, 5, 7, 10, 15], length, "right")
-        again = np.zeros(len(word), np.int64)
-        again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
-        initial = np.array([0, 1, 2, 3, 3, 3, 3, 3, 3, 3, 0, 3])[kind[at]]
-        counts = np.bincount(owner * _FORMS + (bucket * 2 + again) * 4 + initial, minlength=m * _FORMS)
-        out[:, _KINDS**3 :] = counts.reshape(m, -1)
-    return out
+    if not len(word):
+        return word_before
+    space = shingles._SPACE[data]
+    begins = np.concatenate([[True], space[:-1]])
+    begins[starts[(starts > 0) & (starts < len(data))]] = True
+    at = np.flatnonzero(~space & begins)
+    length = np.add.reduceat((~space).astype(np.int64), at)
+    bucket = np.searchsorted([3, 5, 7, 10, 15], length, "right")
+    again = np.zeros(len(word), np.int64)
+    again[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+    again[0] = word_before is not None and owner[0] == 0 and word_before[0] == word[0]
+    initial = np.array([0, 1, 2, 3, 3, 3, 3, 3, 3, 3, 0, 3])[_KIND[data[at]]]
+    out[:, _BOUNDS[1] : _BOUNDS[2]] += np.bincount(owner * _FORMS + (bucket * 2 + again) * 4 + initial, minlength=m * _FORMS).reshape(m, -1)
+    out[:, _BOUNDS[2] :] += np.bincount(owner * WORDS + (word % np.uint64(WORDS)).astype(np.int64), minlength=m * WORDS).reshape(m, -1)
+    return word[-1], owner[-1]
 
 
 class Model:
@@ -87,10 +101,10 @@ class Model:
 
     @staticmethod
     def shares(counts: np.ndarray) -> np.ndarray:
-        """Square roots of shares, trigrams and word forms apart."""
+        """Square roots of shares, each kind of terms apart."""
         out = counts.astype(np.float32, copy=True)
-        for part in (out[:, : _KINDS**3], out[:, _KINDS**3 :]):
-            part /= np.maximum(1, part.sum(axis=1, keepdims=True))
+        for a, b in zip(_BOUNDS, _BOUNDS[1:], strict=False):
+            out[:, a:b] /= np.maximum(1, out[:, a:b].sum(axis=1, keepdims=True))
         return np.sqrt(out)
 
     @staticmethod
@@ -126,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: in
     chosen = [rows.where(F.col("quality") == 1).orderBy(*order).limit(per_label), rows.where(F.col("quality") != 1).orderBy(*order).limit(per_label)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
     found = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", (F.col("quality") == 1).cast("int").alias("y"), "text")
-    # rows that repeat a doc_id must not widen the sample
+    # rows that repeat a doc_id must not widen the sample: the least terms of them count
     schema = T.StructType([found.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("terms", T.BinaryType())])
 
     def count(batches):
@@ -138,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: in
                     found_terms.append(some.astype("<u2").tobytes() + counts[some].astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array(found_terms, pa.binary())], names=["doc_id", "y", "terms"])
 
-    got = found.mapInArrow(count, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = found.mapInArrow(count, schema).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("terms").alias("terms")).toArrow().sort_by("doc_id")
     counts = np.zeros((len(got), ALL_TERMS), np.float32)
     for row, value in zip(counts, got["terms"], strict=True):
         data = value.as_py()

@@ -126,9 +126,13 @@ _RULE_CASES = " ".join(
 )
 
 
+#: Levels that the SQL goes down, more than the tables' paths have; the operator goes as deep as they are.
+DEPTH = 8
+
+
 def _tree_sql() -> str:
     steps, last = [], "leaves"
-    for n in range(1, url_filter.LEVELS + 1):
+    for n in range(1, DEPTH + 1):
         steps.append(f"""
 branch{n} AS (SELECT host, tree[1:{n - 1}] AS above, tree[{n}] AS child, sum(n) AS pages FROM {last} WHERE len(tree) >= {n} GROUP BY ALL),
 wild{n} AS (SELECT host, above FROM branch{n} GROUP BY ALL HAVING count(*) > {url_filter.MANY} AND sum(pages) < {url_filter.FEW} * count(*)),
@@ -146,10 +150,10 @@ parsed AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
 ruled AS (SELECT *, CASE {_RULE_CASES} END AS hit FROM parsed),
 rows AS (SELECT page_id, host, path, split_part(hit, '|', 1) AS rule, split_part(hit, '|', 2) AS said, list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
     lambda s: regexp_replace(s, '^([0-9]+|[0-9a-f]{{16,}})(\\.|$)', '*\\2')) AS segs FROM ruled),
-cutoff AS (SELECT * EXCLUDE segs, CASE WHEN len(segs) > {url_filter.LEVELS} THEN segs[1:{url_filter.LEVELS}] || ['**'] ELSE segs END AS parts FROM rows),
+cutoff AS (SELECT * EXCLUDE segs, segs AS parts FROM rows),
 leaves AS (SELECT host, parts, parts AS tree, count(*) AS n, count(*) FILTER (said = 'block') AS n_block, count(*) FILTER (said = 'allow') AS n_allow FROM cutoff GROUP BY ALL),
 {_tree_sql()},
-named AS (SELECT *, '/' || array_to_string(tree, '/') AS template, '/' || array_to_string(tree[1:len(tree) - 1], '/') AS parent FROM tree{url_filter.LEVELS}),
+named AS (SELECT *, '/' || array_to_string(tree, '/') AS template, '/' || array_to_string(tree[1:len(tree) - 1], '/') AS parent FROM tree{DEPTH}),
 total AS (SELECT (sum(n_block) + {_K / 2}) / (sum(n_block) + sum(n_allow) + {_K}) AS base FROM named),
 hosts AS (SELECT host, (sum(n_block) + any_value(base) * {_K}) / (sum(n_block) + sum(n_allow) + {_K}) AS host_rate FROM named, total GROUP BY host),
 nodes AS (SELECT host, parent, template, sum(n_block) AS n_block, sum(n_allow) AS n_allow FROM named GROUP BY ALL),

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: A longer text is hashed in pieces of about so many bytes.
+PIECE_BYTES = 1 << 22
 
 _rng = np.random.default_rng(20240611)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,8 +45,35 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of data of about PIECE_BYTES that end after a blank: memory follows the longest word, not the longest text."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + PIECE_BYTES)
+        while end < len(data):
+            blank = np.flatnonzero(_SPACE[data[end : end + PIECE_BYTES]])
+            if len(blank):
+                end += int(blank[0]) + 1
+                break
+            end = min(len(data), end + PIECE_BYTES)
+        yield at, end
+        at = end
+
+
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z folded) and its document, for documents that begin at starts in data."""
+    if len(data) <= PIECE_BYTES:
+        return _words(data, starts)
+    found = []
+    for a, b in pieces(data):
+        first = max(0, int(np.searchsorted(starts, a, "right")) - 1)
+        last = int(np.searchsorted(starts, b))
+        word, doc = _words(data[a:b], np.maximum(starts[first:last] - a, 0))
+        found.append((word, doc + first))
+    return np.concatenate([w for w, _ in found]), np.concatenate([d for _, d in found])
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     space = _SPACE[data]

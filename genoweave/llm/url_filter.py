@@ -28,8 +28,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Levels of the tree; what is deeper is one wildcard.
-LEVELS = 4
+#: Levels of the tree after which it is written, to keep plans short.
+WRITTEN = 6
 #: A branch with over MANY children and under FEW pages a child has variable children.
 MANY, FEW = 20, 3
 #: Strength, in pages, of a parent's rate; standard errors within which siblings are merged.
@@ -54,16 +54,20 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def lexical(path: Column) -> Column:
-    """Segments without a leading empty one; digits and long hexadecimal become *; what is below LEVELS becomes **."""
+    """Segments without a leading empty one; digits and long hexadecimal become *."""
     text = F.regexp_replace(path, r"(?<=/)(?:[0-9]+|[0-9a-f]{16,})(?=[/.]|$)", "*")
-    parts = F.split(F.regexp_replace(text, "^/", ""), "/", -1)
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)
+    return F.split(F.regexp_replace(text, "^/", ""), "/", -1)
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """paths(host, parts, n, n_block, n_allow), distinct -> the same with template, after generalising variable children."""
+    """paths(host, parts, n, n_block, n_allow), distinct -> the same with template, after generalising variable children.
+
+    The tree is as deep as the longest path; paths that end above a level pass it by, and long trees are written every few levels.
+    """
     out = paths.withColumn("tree", F.col("parts"))
-    for level in range(1, LEVELS + 1):
+    for level in range(1, (paths.agg(F.max(F.size("parts"))).first()[0] or 0) + 1):
+        if level % WRITTEN == 0:
+            out = materialize(out, "url-tree")
         above = F.slice("tree", 1, level - 1)
         branch = out.where(F.size("tree") >= level).groupBy("host", above.alias("above"), F.element_at("tree", level).alias("child")).agg(F.sum("n").alias("pages"))
         variable = branch.groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("pages").alias("pages")).where((F.col("children") > MANY) & (F.col("pages") < FEW * F.col("children"))).select("host", "above", F.lit(True).alias("variable"))
@@ -99,7 +103,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     rows = materialize(rows.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), lexical(F.col("path")).alias("parts")), "url-rows")
     leaves = rows.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("n_block"), F.count_if(F.col("said") == "allow").alias("n_allow"))
-    leaves = materialize(templates(leaves), "url-leaves")
+    leaves = materialize(templates(materialize(leaves, "url-paths")), "url-leaves")
     verdicts = leaves.select("host", "parts", "template").join(judged(leaves), ["host", "template"])
     out = rows.join(verdicts, ["host", "parts"])
     own = F.when(F.col("block_rate") > 0.5, "block").otherwise("allow")

@@ -605,6 +605,51 @@ def test_quality(spark, empty):
     assert {r.score for r in quality.quality_scores(frame(spark, rows[:5]), marks.limit(0)).collect()} == {0.5}
 
 
+def test_votes_equal_plain(spark):
+    """Scores against a plain vote: every cosine with every sample vector, the nearest 25, weighted by a power of the cosine."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(["ab", "cd", "Efg", "hij.", "k1", "LMN"][k % 3 :]) for _ in range(rng.randint(1, 30))), "en", "s", 1) for k in range(120)]
+    marks = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(100)] + [(100, 1, 0), (100, 0, 0)], "doc_id bigint, quality int, toxic int")
+    df = frame(spark, [*rows, rows[3], (3, "another text under the same id", "en", "s", 1)])
+    model = quality.fit(df, marks)
+    assert len(model.vectors) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(101))
+    for r in quality.score(frame(spark, rows, clash=False), model).collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        x = (quality.Model.shares(quality.term_counts(data, np.zeros(1, np.int64)))[0, model.terms] * model.weights) @ model.axes
+        cosines = sorted(((float(x @ v) / float(np.linalg.norm(x)), float(y)) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        near = [(max(c, 1e-3) ** quality.SHARPNESS, y) for c, y in cosines[: quality.NEIGHBOURS]]
+        ties = [y for c, y in cosines if abs(c - cosines[quality.NEIGHBOURS - 1][0]) < 1e-5]
+        if len(set(ties)) == 1:  # else which of the equally near ones vote is open
+            assert r.score == pytest.approx(sum(w * y for w, y in near) / sum(w for w, _ in near), abs=2e-4)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = ["", "One two two, three.", "é" * 50 + " Zwei zwei " * 40, "", "x y", " ".join("word%d" % (k % 7) for k in range(300))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.cumsum([0] + [len(t.encode()) for t in texts[:-1]])
+    whole, hashes, sets = quality.term_counts(data, starts), shingles.words(data, starts), shingles.sets(data, starts)
+    monkeypatch.setattr(shingles, "PIECE_BYTES", 16)
+    assert (quality.term_counts(data, starts) == whole).all()
+    assert all((a == b).all() for a, b in zip([*hashes, *sets], [*shingles.words(data, starts), *shingles.sets(data, starts)], strict=True))
+
+
+def test_pack_whatever_the_layout(spark):
+    rows = corpus(300) + [(7, "one row many times", "en", "a", 1)] * 9
+    place = lambda df: sorted(map(tuple, packing.pack(df, 100, 32).collect()), key=repr)
+    assert place(frame(spark, rows)) == place(frame(spark, rows[::-1]).repartition(7))
+    near = frame(spark, [(k, f"text {k}", "en", f"s{k}", 1) for k in range(8)]).withColumn("component_id", F.col("doc_id") % 2)
+    assert packing.pack(near).select("bin_id").distinct().count() == 1 and packing.pack(near, cluster="component_id").select("bin_id").distinct().count() == 4
+
+
+def test_deep_paths(spark):
+    """Branches that differ in the seventh segment only are judged apart."""
+    rules = [("a.org", f"/1x/b/c/d/e/f/{v}", v) for v in ("allow", "block")]
+    urls = [f"http://a.org/1x/b/c/d/e/f/{v}/{k}" for v in ("allow", "block") for k in range(40)]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got[0].template == "/1x/b/c/d/e/f/allow/*" and got[0].block_rate < 0.3 < 0.7 < got[79].block_rate
+
+
 # ---- pipeline ----
 
 
