@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from .kernels import map_rows, map_runs
 BINS = 4096
 ENOUGH = 30
 FIT_LOW, FIT_HIGH = 30, 90
+#: Nucleotides in a cell of the walk's list of kept frames.
+CELL = 1024
 
 
 def training_set(orfs: DataFrame) -> DataFrame:
@@ -91,23 +93,26 @@ def scored(orfs: DataFrame, pairs: DataFrame, back: DataFrame) -> DataFrame:
 
 
 def fitted_q(counts: dict[int, int]) -> float | None:
-    """Rate of stops, as maximum likelihood of a geometric law cut to FIT_LOW..FIT_HIGH, by 60 bisections; None if there are few runs."""
-    band = {k: counts.get(k, 0) for k in range(FIT_LOW, FIT_HIGH + 1)}
-    n = float(sum(band.values()))
-    if n < 30:
+    """Rate of stops, as maximum likelihood of a geometric law cut to FIT_LOW..FIT_HIGH; None if there are few runs.
+
+    The cut law is an exponential family in t = ln(1 - q): the fit is where its mean equals the observed one, found by
+    Newton steps, whose slope is the law's variance.
+    """
+    lengths = np.arange(FIT_HIGH - FIT_LOW + 1, dtype=float)
+    seen = np.array([counts.get(FIT_LOW + k, 0) for k in range(len(lengths))], float)
+    if seen.sum() < 30:
         return None
-    mean = sum(k * v for k, v in band.items()) / n
-    mean = min(max(mean, FIT_LOW + 0.5), 0.5 * (FIT_LOW + FIT_HIGH) - 0.5)
-    lengths = np.arange(FIT_LOW, FIT_HIGH + 1, dtype=float)
-    low, high = 1e-9, 1.0 - 1e-12
-    for _ in range(60):
-        r = 0.5 * (low + high)
-        weights = r ** (lengths - FIT_LOW)
-        if (lengths * weights).sum() / weights.sum() < mean:
-            low = r
-        else:
-            high = r
-    return 1.0 - 0.5 * (low + high)
+    wanted = float(np.clip(lengths @ seen / seen.sum(), 0.5, 0.5 * lengths[-1] - 0.5))
+    t = np.log(wanted / (1 + wanted))
+    for _ in range(100):
+        law = np.exp(t * lengths)
+        law /= law.sum()
+        mean = law @ lengths
+        step = (wanted - mean) / (law @ (lengths - mean) ** 2)
+        t += step
+        if abs(step) < 1e-15:
+            break
+    return float(-np.expm1(t))
 
 
 def stop_rate(runs: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -150,38 +155,29 @@ def coding_budget(orfs: DataFrame, rates: DataFrame, params: GeneParams = GenePa
 def walk(frames: list[tuple[int, int, float]], contig_len: int, budget: float) -> list[int]:
     """Numbers of the kept frames. frames: (start, aa_len, key2) in falling order of key.
 
-    Frames are charged to the budget, kept or not, until it is spent. One that overlaps a kept frame by over OVERLAP of
-    the shorter must have the larger key2 than all such; they are then evicted, without refund.
+    Every frame is charged to the budget, kept or not, so which ones are looked at at all follows from running sums. One that
+    shares over OVERLAP of the shorter with kept frames replaces them if its key2 is larger than theirs, and is dropped otherwise.
+    Kept frames are listed under the CELL-wide cells of the contig that they touch.
     """
-    kept: dict[int, tuple[int, int]] = {}
-    order: list[tuple[int, int]] = []
-    used, widest = 0.0, 0
-    for i, (start, aa_len, key2) in enumerate(frames):
-        if used >= budget:
-            break
-        end = min(start + 3 * aa_len, contig_len)
-        if end <= start:
-            continue
-        evicted, loses = [], False
-        at = bisect_left(order, (max(0, start - widest), -1))
-        while at < len(order) and order[at][0] < end:
-            j = order[at][1]
-            a, b = kept[j]
-            shared = min(end, b) - max(start, a)
-            if b > start and shared > OVERLAP * min(end - start, b - a):
-                if key2 <= frames[j][2]:
-                    loses = True
-                    break
-                evicted.append(j)
-            at += 1
-        used += end - start
-        if loses:
+    start, aa_len, key2 = (np.array(x) for x in zip(*frames, strict=True)) if frames else (np.zeros(0),) * 3
+    size = np.maximum(np.minimum(start + 3 * aa_len, contig_len) - start, 0)
+    admitted = np.flatnonzero((np.cumsum(size) - size < budget) & (size > 0))
+    cells: dict[int, set[int]] = defaultdict(set)
+    kept: set[int] = set()
+    for i in admitted.tolist():
+        touched = range(int(start[i]) // CELL, (int(start[i] + size[i]) - 1) // CELL + 1)
+        near = np.array(sorted(set().union(*(cells[c] for c in touched))), np.int64)
+        shared = np.minimum(start[i] + size[i], start[near] + size[near]) - np.maximum(start[i], start[near])
+        rivals = near[shared > OVERLAP * np.minimum(size[i], size[near])]
+        if (key2[rivals] >= key2[i]).any():
             continue
-        for j in evicted:
-            order.remove((kept.pop(j)[0], j))
-        kept[i] = (start, end)
-        insort(order, (start, i))
-        widest = max(widest, end - start)
+        for c in touched:
+            cells[c].add(i)
+        kept.add(i)
+        for j in rivals.tolist():
+            kept.discard(j)
+            for c in range(int(start[j]) // CELL, (int(start[j] + size[j]) - 1) // CELL + 1):
+                cells[c].discard(j)
     return sorted(kept)
 
 

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_run = uuid.uuid4().hex
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; an own folder only where that is unset."""
+    """spark.checkpoint.dir, else the session's checkpoint folder; an own one only in local mode, where all tasks see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that the driver and all executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="genoweave-tables-"))
+        _own.append(tempfile.mkdtemp(prefix="genoweave-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back. A run's folder goes when its driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/genoweave-{_run}"
+    path = f"{top}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(top)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
