@@ -1,56 +1,20 @@
-"""Helpers shared by the training-data operators: shared-folder tables, text folding, word counts."""
+"""Helpers shared by the training-data operators: shared-folder tables, hot keys, text folding, word counts."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import settled as materialize
+
 #: A word is a maximal run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key is hot when it holds over one in HOT of all rows; so there are at most HOT hot keys, whatever the input.
 HOT = 1024
 
-_own_dir: str | None = None
-_run = uuid.uuid4().hex
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else the session's checkpoint folder; an own one only in local mode."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="genoweave-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return _own_dir
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The folder of a run goes when its driver ends.
-    """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark).rstrip('/')}/genoweave-{_run}"
-    path = f"{top}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(top)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def join_repeated(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """rows joined with keys(on, n, ...), written tables: one row per key, n at most its rows. Hot keys, at most ``HOT``, are broadcast."""
