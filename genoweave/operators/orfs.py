@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from ..plans.schemas import parsed
 
 from ..functions import sequence as S
@@ -33,42 +35,60 @@ def _runs(codes: np.ndarray, offset: int, stops: np.ndarray):
     return first, end - first, closed, n
 
 
-def _cut(first: np.ndarray, size: np.ndarray):
-    """Runs longer than MAX_AA in pieces of that size from the left."""
-    for a, n in zip(first.tolist(), size.tolist(), strict=True):
-        while n > MAX_AA:
-            yield a, MAX_AA
-            a, n = a + MAX_AA, n - MAX_AA
-        yield a, n
+def _scan(codes: np.ndarray, min_orf: int) -> list[np.ndarray]:
+    """frame, start, aa_len, close_at of a contig's frames: arrays. Runs longer than MAX_AA come in pieces of that size from the left."""
+    parts = [np.zeros((4, 0), np.int64)]
+    for offset in range(3):
+        if len(codes) < offset + 3:
+            continue
+        for reverse, stops in ((False, S.STOPS), (True, S.REVERSE_STOPS)):
+            first, length, _, n = _runs(codes, offset, stops)
+            first, length = first[length >= min_orf], length[length >= min_orf]
+            pieces = -(-length // MAX_AA)
+            skipped = MAX_AA * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            first = np.repeat(first, pieces) + skipped
+            length = np.minimum(np.repeat(length, pieces) - skipped, MAX_AA)
+            first, length = first[length >= min_orf], length[length >= min_orf]
+            frame = np.full(len(first), 3 + (len(codes) - offset) % 3 if reverse else offset)
+            parts.append(np.stack([frame, offset + 3 * first, length, n - first if reverse else first + length]))
+    return list(np.concatenate(parts, axis=1))
+
+
+def orf_spans(contigs: DataFrame, params: GeneParams = GeneParams()) -> DataFrame:
+    """Maximal stop-free runs of known bases in all six frames: where they are, without measures or letters."""
+    names = ["genome", "contig_idx", "contig_len", "frame", "start", "aa_len", "close_at"]
+    schema = T.StructType([CANDIDATES[n] for n in names])
+
+    def scan(batches):
+        for batch in batches:
+            found, sizes = [], []
+            for seq in batch.column(2):
+                codes = S.encode(seq.as_py())
+                found.append(_scan(codes, params.min_orf))
+                sizes.append(len(codes))
+            row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            frame, start, length, close = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(4))
+            at = pa.array(row)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(sizes, np.int64)[row]), pa.array(frame.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(close)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return contigs.select("genome", "contig_idx", "seq").mapInArrow(scan, schema)
 
 
 def orf_candidates(contigs: DataFrame, params: GeneParams = GeneParams()) -> DataFrame:
-    """Maximal stop-free runs of known bases in all six frames, with their measures and coding strand."""
+    """The same runs with their measures and coding strand."""
     min_orf = params.min_orf
 
     def scan(genome, contig_idx, seq):
         codes = S.encode(seq)
-        size = len(codes)
-        other = None
+        size, other = len(codes), None
         letters = np.frombuffer(b"ACGTN", np.uint8)
-        for offset in range(3):
-            if size < offset + 3:
-                continue
-            for reverse, stops in ((False, S.STOPS), (True, S.REVERSE_STOPS)):
-                first, length, _, n = _runs(codes, offset, stops)
-                enough = length >= min_orf
-                for a, k in _cut(first[enough], length[enough]):
-                    if k < min_orf:
-                        continue
-                    start = offset + 3 * a
-                    own = codes[start : start + 3 * k]
-                    if reverse:
-                        other = S.reverse_complement(codes) if other is None else other
-                        own, strand, five = S.reverse_complement(own), other, size - (start + 3 * k)
-                        frame, close = 3 + (size - offset) % 3, n - a
-                    else:
-                        strand, five, frame, close = codes, start, offset, a + k
-                    yield (genome, contig_idx, size, frame, start, k, close, S.snr(own), S.composition_score(own), S.site_score(strand, five), letters[own].tobytes().decode())
+        for frame, start, k, close in zip(*(x.tolist() for x in _scan(codes, min_orf)), strict=True):
+            own, strand, five = codes[start : start + 3 * k], codes, start
+            if frame >= 3:
+                other = S.reverse_complement(codes) if other is None else other
+                own, strand, five = S.reverse_complement(own), other, size - (start + 3 * k)
+            yield (genome, contig_idx, size, frame, start, k, close, S.snr(own), S.composition_score(own), S.site_score(strand, five), letters[own].tobytes().decode())
 
     return map_rows(contigs.select("genome", "contig_idx", "seq"), scan, CANDIDATES, 2000)
 

@@ -7,6 +7,7 @@ document), and the letters that are residues, an ORF for each line with enough o
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ MIN_LINE = 30
 PRESET = "med-normal"
 SHAPE = "6:0,2,3,4,5,6"
 SCALED = 8
+#: Anchors that a pair may have in the queries of budgets and anchors, so few that side caps of 1 to 8 all occur.
+FEW_ANCHORS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,10 @@ def _seeds(spark, sf_dir):
     return settled(seeds.extract_seeds(protein_proxy(spark, sf_dir), SHAPE, SCALED), "seeds")
 
 
+def _spans(spark, sf_dir):
+    return orfs.orf_spans(nucleotide_proxy(spark, sf_dir))
+
+
 # ---- genes ----
 
 
@@ -71,7 +78,7 @@ def g01_encode(spark, sf_dir):
 
 
 def g02_orfs(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("genome", F.col("frame").cast("int").alias("frame"), "start", "aa_len")
+    return _spans(spark, sf_dir).select("genome", F.col("frame").cast("int").alias("frame"), "start", "aa_len")
 
 
 def g02h_run_lengths(spark, sf_dir):
@@ -79,7 +86,7 @@ def g02h_run_lengths(spark, sf_dir):
 
 
 def g03_orf_order(spark, sf_dir):
-    return orfs.in_order(_candidates(spark, sf_dir)).select("genome", "seg_idx", "frame", "start")
+    return orfs.in_order(_spans(spark, sf_dir)).select("genome", "seg_idx", "frame", "start")
 
 
 def g04_orf_measures(spark, sf_dir):
@@ -117,11 +124,12 @@ def g16_stop_rate(spark, sf_dir):
 
 def g17_shrunken_keys(spark, sf_dir):
     found = orfs.in_order(_candidates(spark, sf_dir)).withColumn("d", F.col("snr") * F.col("psi"))
+    found = found.withColumn("contig_idx", (F.col("seg_idx") % 3).cast("int"))
     return coding.shrunken_keys(found).select("genome", "seg_idx", *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("key", "key2")])
 
 
 def g18_coding_budget(spark, sf_dir):
-    found = _candidates(spark, sf_dir)
+    found = _spans(spark, sf_dir)
     rates = found.select("genome").distinct().withColumn("q", F.lit(0.05))
     return coding.coding_budget(found, rates).select("genome", F.round("budget", 4).alias("budget"))
 
@@ -135,7 +143,7 @@ def g22_trim_and_translate(spark, sf_dir):
 
 
 def g25_coding_length(spark, sf_dir):
-    spans = _candidates(spark, sf_dir).select("genome", "start", (F.col("start") + 3 * F.col("aa_len")).alias("end"))
+    spans = _spans(spark, sf_dir).select("genome", "start", (F.col("start") + 3 * F.col("aa_len")).alias("end"))
     return intervals.union_length(spans, ["genome"], out="coding_nuc")
 
 
@@ -188,13 +196,13 @@ def j01_shared_hashes(spark, sf_dir):
 
 def j03_pair_budgets(spark, sf_dir):
     own = _seeds(spark, sf_dir)
-    return joins.pair_budgets(joins.shared_hashes(own, own, "triangle"), dist_params(PRESET))
+    return joins.pair_budgets(joins.shared_hashes(own, own, "triangle"), replace(dist_params(PRESET), max_pair_matches=FEW_ANCHORS))
 
 
 def j02_anchors(spark, sf_dir):
     own = _seeds(spark, sf_dir)
-    found = joins.anchors(own, own, "triangle", dist_params(PRESET))
-    return found.groupBy("q", "r").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("weight"))
+    found = joins.anchors(own, own, "triangle", replace(dist_params(PRESET), max_pair_matches=FEW_ANCHORS))
+    return found.groupBy("q", "r").agg(F.count("*").alias("n"), F.sum(F.col("q_pos") + 3 * F.col("r_pos")).alias("places"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("weight"))
 
 
 def j04_pair_enumeration(spark, sf_dir):
@@ -204,7 +212,7 @@ def j04_pair_enumeration(spark, sf_dir):
 
 def j05_reciprocal_best(spark, sf_dir):
     own = _seeds(spark, sf_dir)
-    found = joins.anchors(own, own, "triangle", dist_params(PRESET))
+    found = joins.anchors(own, own, "triangle", replace(dist_params(PRESET), max_pair_matches=FEW_ANCHORS))
     sums = found.groupBy(*chain.PAIR).agg(F.count("*").cast("double").alias("score"))
     return joins.reciprocal_best(sums)
 
@@ -310,8 +318,8 @@ def w03_union_distinct(spark, sf_dir):
 
 
 def w04_anti_join(spark, sf_dir):
-    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
+    o, back = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return o.join(back, o.o_orderkey == back.l_orderkey, "left_anti").select("o_orderkey", "o_orderpriority")
 
 
 def w05_lag(spark, sf_dir):
@@ -383,9 +391,12 @@ occs AS (SELECT *, count(*) OVER (PARTITION BY genome, hash32) AS n_occ, row_num
 masked AS (SELECT genome, hash32, seg_idx, aa_pos, n_occ, occ FROM occs WHERE n_occ <= greatest(2, floor(e + 4 * sqrt(e) + 0.5)))"""
 _SHARED = f"""{_MASKED}, sides AS (SELECT DISTINCT genome, hash32, n_occ FROM masked),
 shared AS (SELECT a.genome AS q, b.genome AS r, a.hash32, a.n_occ AS nq, b.n_occ AS nr FROM sides a JOIN sides b ON a.hash32 = b.hash32 AND a.genome < b.genome),
-budgets AS (SELECT q, r, count(*) AS n_shared, sum(least(nq, 8) * least(nr, 8))::BIGINT AS n_anchors FROM shared GROUP BY q, r HAVING sum(least(nq, 8) * least(nr, 8)) >= 2)"""
-_ANCHORS = f"""{_SHARED}, anchors AS (SELECT a.genome AS q, b.genome AS r, a.seg_idx AS q_seg, b.seg_idx AS r_seg, (1.0 / sqrt((a.n_occ * b.n_occ)::DOUBLE))::FLOAT AS w
-FROM masked a JOIN masked b ON a.hash32 = b.hash32 AND a.genome < b.genome JOIN budgets p ON p.q = a.genome AND p.r = b.genome)"""
+costs AS (SELECT q, r, c, count(*) AS n_shared, sum(least(nq, c) * least(nr, c))::BIGINT AS cost FROM shared, (SELECT unnest(range(1, 9)) AS c) GROUP BY ALL),
+budgets AS (SELECT q, r, any_value(n_shared) AS n_shared, coalesce(max(c) FILTER (cost <= {FEW_ANCHORS}), 1)::INT AS cap,
+  coalesce(max(cost) FILTER (cost <= {FEW_ANCHORS}), min(cost)) AS n_anchors FROM costs GROUP BY q, r HAVING max(cost) >= 2)"""
+_ANCHORS = f"""{_SHARED}, anchors AS (SELECT a.genome AS q, b.genome AS r, a.seg_idx AS q_seg, b.seg_idx AS r_seg, a.aa_pos AS q_pos, b.aa_pos AS r_pos, (1.0 / sqrt((a.n_occ * b.n_occ)::DOUBLE))::FLOAT AS w
+FROM masked a JOIN masked b ON a.hash32 = b.hash32 AND a.genome < b.genome JOIN budgets p ON p.q = a.genome AND p.r = b.genome
+WHERE list_contains(list_transform(range(0, least(a.n_occ, cap)), lambda i: i * a.n_occ // least(a.n_occ, cap)), a.occ) AND list_contains(list_transform(range(0, least(b.n_occ, cap)), lambda i: i * b.n_occ // least(b.n_occ, cap)), b.occ))"""
 _MARKS = f"""{_MASKED}, marks AS (SELECT DISTINCT genome, hash32 FROM masked)"""
 # thinning comes before masking, and both look at one hash: thinned runs are whole
 _THIN = f"""{_MARKS}, thin AS (SELECT * FROM marks WHERE hash32 < {(1 << 32) // 2}), sizes AS (SELECT genome, count(*) AS n FROM thin GROUP BY genome),
@@ -420,8 +431,8 @@ def _length_rounds(m: str, n: str, rel: str) -> str:
     return out
 
 
-_Z = {c: f"((n / (n + {SHRINK}.0)) * avg({c}) OVER w + (1 - n / (n + {SHRINK}.0)) * avg({c}) OVER w)" for c in ("d", "snr", "psi", "ln_len")}
-_S = {c: f"((n / (n + {SHRINK}.0)) * stddev_pop({c}) OVER w + (1 - n / (n + {SHRINK}.0)) * (stddev_pop({c}) OVER w + 1e-9) + 1e-9)" for c in ("d", "snr", "psi", "ln_len")}
+_Z = {c: f"((n / (n + {SHRINK}.0)) * avg({c}) OVER v + (1 - n / (n + {SHRINK}.0)) * avg({c}) OVER w)" for c in ("d", "snr", "psi", "ln_len")}
+_S = {c: f"((n / (n + {SHRINK}.0)) * stddev_pop({c}) OVER v + (1 - n / (n + {SHRINK}.0)) * (stddev_pop({c}) OVER w + 1e-9) + 1e-9)" for c in ("d", "snr", "psi", "ln_len")}
 _ZS = {c: f"({c} - {_Z[c]}) / {_S[c]}" for c in _Z}
 _TRANSLATE = f"array_to_string(list_transform(range(0, length(nt) // 3), lambda i: substr('{CODE}', ((instr('ACGT', substr(nt, (3 * i + 1)::INT, 1)) - 1) * 16 + (instr('ACGT', substr(nt, (3 * i + 2)::INT, 1)) - 1) * 4 + instr('ACGT', substr(nt, (3 * i + 3)::INT, 1)))::INT, 1)), '')"
 _UNION = """o AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv WHERE e > s),
@@ -441,8 +452,8 @@ SQL = {
 c AS (SELECT genome, hexamer, sum(m) AS c FROM dis GROUP BY ALL), ct AS (SELECT genome, sum(c) AS ct FROM c GROUP BY genome), bt AS (SELECT genome, sum(b) AS bt FROM bg GROUP BY genome)
 SELECT genome, seg_idx, round(sum(m * log2(((coalesce(c, 0) + 1.0) / (ct + 4096.0)) / ((coalesce(b, 0) + 1.0) / (bt + 4096.0)))) / sum(m), 6) AS d
 FROM dis JOIN ct USING (genome) JOIN bt USING (genome) LEFT JOIN c USING (genome, hexamer) LEFT JOIN bg USING (genome, hexamer) GROUP BY ALL""",
-    "g17_shrunken_keys": f"""WITH {_MEASURED}, f AS (SELECT genome, seg_idx, snr * psi AS d, snr, psi, ln(aa_len::DOUBLE) AS ln_len, count(*) OVER (PARTITION BY genome) AS n FROM measured)
-SELECT genome, seg_idx, round({_ZS['d']} + {_ZS['snr']} + {_ZS['psi']} + {_ZS['ln_len']}, 3) + 0.0 AS key, round({_ZS['d']} + {_ZS['psi']} + {_ZS['ln_len']}, 3) + 0.0 AS key2 FROM f WINDOW w AS (PARTITION BY genome)""",
+    "g17_shrunken_keys": f"""WITH {_MEASURED}, f AS (SELECT genome, seg_idx, snr * psi AS d, snr, psi, ln(aa_len::DOUBLE) AS ln_len, seg_idx % 3 AS contig_idx, count(*) OVER (PARTITION BY genome, seg_idx % 3) AS n FROM measured)
+SELECT genome, seg_idx, round({_ZS['d']} + {_ZS['snr']} + {_ZS['psi']} + {_ZS['ln_len']}, 3) + 0.0 AS key, round({_ZS['d']} + {_ZS['psi']} + {_ZS['ln_len']}, 3) + 0.0 AS key2 FROM f WINDOW w AS (PARTITION BY genome), v AS (PARTITION BY genome, contig_idx)""",
     "g18_coding_budget": f"""WITH {_ORFS}, h AS (SELECT genome, least(aa_len, 4096) AS n, count(*) AS seen, any_value(size) AS m FROM orfs GROUP BY ALL)
 SELECT genome, round(sum(greatest(0, seen - 2.0 * m * 0.05 * power(0.95, n) * 0.05) * n * 3), 4) AS budget FROM h GROUP BY genome""",
     "g22_trim_and_translate": f"""WITH {_ORFS}, st AS (SELECT *, coalesce(list_position(list_transform(range(0, greatest(0, least(30, aa_len - 30))), lambda i: substr(nt, (3 * i + 1)::INT, 3) IN ('ATG', 'GTG', 'TTG')), true), 1) - 1 AS cut FROM nts),
@@ -456,8 +467,8 @@ SELECT genome, frame, start, aa_len, {_TRANSLATE} AS protein FROM tr""",
     "d05_composition": f"WITH {_LINES}, {_COMP} SELECT genome, npos, round(log_npos, 6) AS log_npos, (i - 1)::INT AS residue, round(logp[i], 6) AS logp FROM comp, (SELECT unnest(range(1, 21)) AS i)",
     "d06_mask": f"WITH {_MASKED} SELECT genome, hash32, seg_idx, aa_pos, n_occ, occ FROM masked",
     "j01_shared_hashes": f"WITH {_SHARED} SELECT q, r, count(*) AS n_shared FROM shared GROUP BY ALL",
-    "j03_pair_budgets": f"WITH {_SHARED} SELECT q, r, n_shared, 8 AS cap, n_anchors FROM budgets",
-    "j02_anchors": f"WITH {_ANCHORS} SELECT q, r, count(*) AS n, round(sum(w::DOUBLE), 4) AS weight FROM anchors GROUP BY ALL",
+    "j03_pair_budgets": f"WITH {_SHARED} SELECT q, r, n_shared, cap, n_anchors FROM budgets",
+    "j02_anchors": f"WITH {_ANCHORS} SELECT q, r, count(*) AS n, sum(q_pos + 3 * r_pos)::BIGINT AS places, round(sum(w::DOUBLE), 4) AS weight FROM anchors GROUP BY ALL",
     "j04_pair_enumeration": "SELECT a.n_name AS q, b.n_name AS r FROM nation a JOIN nation b ON a.n_name < b.n_name",
     "j05_reciprocal_best": f"""WITH {_ANCHORS}, sc AS (SELECT q, r, q_seg, r_seg, count(*)::DOUBLE AS score FROM anchors GROUP BY ALL),
 bq AS (SELECT q, r, q_seg, arg_min(r_seg, (-score, r_seg)) AS r_seg FROM sc GROUP BY q, r, q_seg), br AS (SELECT q, r, r_seg, arg_min(q_seg, (-score, q_seg)) AS q_seg FROM sc GROUP BY q, r, r_seg)
@@ -477,7 +488,7 @@ UNION ALL SELECT DISTINCT genome, 0, '##gff-version 3' FROM sorted""",
     "w01_top_k": "SELECT o_custkey, o_orderkey, o_totalprice, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "w02_upper_median": "SELECT l_suppkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS middle FROM lineitem GROUP BY l_suppkey",
     "w03_union_distinct": "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier",
-    "w04_anti_join": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "w04_anti_join": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "w05_lag": "SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS step FROM events",
 }
 

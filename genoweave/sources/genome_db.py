@@ -15,8 +15,8 @@ from ..plans.schemas import parsed
 
 from ..operators.seeds import packed, unpacked
 
-#: Any eight bytes that end in this mark; the older mark needs a rebuild.
-MARK, OLD_MARK = b"DB2", b"DB1"
+#: Any eight bytes that end in this mark; those that end in the older mark, without a number before a zero, need a rebuild.
+MARK, OLD_MARK = b"DB2", b"DB\0"
 DECODED = parsed(
     "genome string, nuc_length bigint, coding_nuc bigint, contigs array<struct<contig:string,offset:bigint,length:bigint>>, "
     "orfs array<struct<frame:int,nuc_start:bigint,aa_len:int,protein:string>>"
@@ -42,10 +42,9 @@ def encode(name: str, nuc_length: int, coding_nuc: int, contigs: list[tuple[str,
 
 def decode(data: bytes, headers: bool = True):
     """(name, nuc_length, coding_nuc, contigs, orfs); without headers the ORF list stays empty and residues unread."""
-    mark = data[:8].rstrip(b"\0")
-    if mark.endswith(OLD_MARK):
+    if data[:8].endswith(OLD_MARK):
         raise ValueError("a database of the older layout must be rebuilt")
-    if not mark.endswith(MARK):
+    if not data[:8].endswith(MARK):
         raise ValueError("not a genome database")
     at = 8
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoweave.functions.constants import AMINO
-from genoweave.operators import orfs, seeds
+from genoweave.operators import joins, orfs, seeds
 from genoweave.operators.intervals import union_length
 from genoweave.operators.joins import reciprocal_best
 from genoweave.plans import api
@@ -134,6 +134,33 @@ def test_fasta(spark, tmp_path):
     assert records == {"y"}  # a short record is left out, what follows it stays
 
 
+def test_large_fasta_is_numbered_by_blocks(spark, tmp_path):
+    names = [f"c{k}" for k in range(400)]
+    (tmp_path / "big.fna").write_text("junk before\n" + "".join(f">{n}\n{'ACGT' * 20}\n" for n in names))
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in usual:
+            spark.conf.set(k, "4k")
+        found = fasta.fasta_folder(spark, str(tmp_path))
+        assert [r.contig for r in sorted(found.collect(), key=lambda r: r.contig_idx)] == names
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
+def test_search_forms_chosen_pairs_only(spark):
+    """Seeds of either side meet only by hashes that a chosen pair shares: no join of all seeds by hash alone."""
+    rows = [(g, h, g, h, 1, 0) for g in ("a", "b", "c", "d") for h in range(40)]
+    own = spark.createDataFrame([(g, h, 0, p, n, o) for g, h, _, p, n, o in rows], "genome string, hash32 bigint, seg_idx bigint, aa_pos int, n_occ int, occ int")
+    chosen = spark.createDataFrame([("a", "b")], "q string, r string")
+    found = joins.shared_hashes(own, own, "cross", chosen)
+    assert {(r.q, r.r) for r in found.collect()} == {("a", "b")} and found.count() == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and "q#" not in line and "r#" not in line]
+    got = joins.anchors(own, own, "cross", DistParams(), chosen)
+    assert {(r.q, r.r) for r in got.select("q", "r").distinct().collect()} == {("a", "b")} and got.count() == 40
+
+
 def test_binary_database(spark, tmp_path):
     orf = [(0, 0, 4, "MKVL"), (4, 20, 3, "ARN")]
     (tmp_path / "g.db").write_bytes(genome_db.encode("g", 100, 21, [("c0", 0, 18), ("c1", 18, 82)], orf))
@@ -143,6 +170,8 @@ def test_binary_database(spark, tmp_path):
     got = [(r.seg_idx, r.contig_idx, r.frame, r.nuc_start, r.aa_len, r.protein) for r in genome_db.orfs_of(decoded).orderBy("seg_idx").collect()]
     assert got == [(0, 0, 0, 0, 4, "MKVL"), (1, 1, 4, 20, 3, "ARN")]
     with pytest.raises(ValueError, match="rebuilt"):
+        genome_db.decode(b"XXXXXDB\0" + b"\0" * 40)
+    with pytest.raises(ValueError, match="not a genome database"):
         genome_db.decode(b"XXXXXDB1" + b"\0" * 40)
 
 
