@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.presets import SearchParams
+from ..plans.store import numbered
 
 
 def markers(seeds: DataFrame) -> DataFrame:
@@ -17,13 +18,14 @@ def numbered_refs(genomes: DataFrame, marks: DataFrame, batch_refs: int = 0) ->
     """genome, rid (place in the sorted list), n_markers, batch: all references, also those without markers."""
     sizes = marks.groupBy("genome").agg(F.count("*").alias("n_markers"))
     rows = genomes.select("genome").distinct().join(sizes, "genome", "left").fillna({"n_markers": 0})
-    rows = rows.withColumn("rid", F.row_number().over(Window.orderBy("genome")) - 1)
+    rows = numbered(rows, "genome", "rid")
     return rows.withColumn("batch", F.floor(F.col("rid") / batch_refs) if batch_refs > 0 else F.lit(0).cast("bigint"))
 
 
 def background_sample(refs: DataFrame, most: int = 256) -> DataFrame:
     """k, genome, n_markers of at most ``most`` evenly spaced references."""
-    sized = refs.withColumn("nr", F.count("*").over(Window.partitionBy())).withColumn("ns", F.least("nr", F.lit(most)))
+    total = refs.agg(F.count("*").alias("nr"))
+    sized = refs.join(F.broadcast(total), F.lit(True)).withColumn("ns", F.least("nr", F.lit(most)))
     # the k whose place is rid: the inverse of rid = (k * nr + nr div 2) div ns
     k = F.expr("(rid * ns - nr div 2 + nr - 1) div nr")
     rows = sized.withColumn("k", F.greatest(k, F.lit(0)))

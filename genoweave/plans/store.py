@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 _run = uuid.uuid4().hex
@@ -39,3 +40,16 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(top)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """df with out, the place of each row from 0 in order of by: range partitions are numbered apart and moved by the rows ahead of them.
+
+    The ranges are written first, as another run of the same plan may draw other bounds. One row a range is ordered in one task.
+    """
+    ranges = settled(df.repartitionByRange(by).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = ranges.join(F.broadcast(sizes.select("__range", ahead.alias("__ahead"))), "__range")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    return moved.withColumn(out, (F.col("__ahead") + place).cast("bigint")).drop("__range", "__ahead")

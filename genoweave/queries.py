@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, sequence, statistics
-from .functions.constants import AMINO, CODE, CODON_SHARE, H, K, LAMBDA, SHRINK
-from .operators import chain, coding, intervals, joins, orfs, search, seeds
+from .functions.constants import AMINO, CODE, CODON_SHARE, H, K, LAMBDA, PSI_TRAIN, RESIDUES, SHRINK, SITE_MIN, SITE_SCAN, SNR_TRAIN
+from .operators import chain, coding, intervals, joins, orfs, scores, search, seeds
 from .plans import api
 
 from .plans.presets import GeneParams, dist_params, parse_shape, search_params
@@ -29,6 +29,8 @@ SHAPE = "6:0,2,3,4,5,6"
 SCALED = 8
 #: Anchors that a pair may have in the queries of budgets and anchors, so few that side caps of 1 to 8 all occur.
 FEW_ANCHORS = 40
+#: Thresholds of the made score rows, at which some pairs fail.
+MADE_AAI, MADE_ALIGNED = 0.21, 1600
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,6 +184,13 @@ def d06_mask(spark, sf_dir):
     return _seeds(spark, sf_dir).select("genome", "hash32", "seg_idx", "aa_pos", "n_occ", "occ")
 
 
+def d08_orf_count(spark, sf_dir):
+    """How many ORFs of each genome the two sides of a comparison sample."""
+    rows = protein_proxy(spark, sf_dir)
+    sides = [seeds.subsampled_orfs(rows, 3, role).groupBy("genome").agg(F.count("*").alias(f"n{role}")) for role in (0, 1)]
+    return rows.select("genome").distinct().join(sides[0], "genome", "left").join(sides[1], "genome", "left").fillna(0)
+
+
 def d08_subsample(spark, sf_dir):
     return seeds.subsampled_orfs(protein_proxy(spark, sf_dir), 4).select("genome", "seg_idx")
 
@@ -231,6 +240,51 @@ def c07_hsps(spark, sf_dir):
     return api.compared(protein_tables(spark, sf_dir), None, dist_params(PRESET))["hsps"].drop("match_pos", "align_pos")
 
 
+def _made_hsps(spark, sf_dir):
+    """Alignments made from lineitem, with the ORFs and genomes of their two sides: (hsps, (q orfs, q genomes), (r orfs, r genomes))."""
+    c = F.col
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("q"), c("l_suppkey") % 20).alias("q"), F.concat(F.lit("r"), c("l_partkey") % 15).alias("r"), (c("l_orderkey") % 12).alias("q_seg"), c("l_linenumber").cast("bigint").alias("r_seg"),
+        (c("l_quantity").cast("int") % 40).alias("q_beg"), (c("l_partkey") % 10 + 10).cast("int").alias("n"), (c("l_orderkey") % 100).cast("int").alias("salt"),
+    )
+    rows = rows.withColumn("q_len", (60 + 7 * c("q_seg")).cast("int")).withColumn("r_len", (50 + 9 * c("r_seg")).cast("int"))
+    rows = rows.withColumn("r_beg", c("q_beg") % 20).withColumn("q_end", c("q_beg") + c("n")).withColumn("r_end", c("r_beg") + c("n"))
+    begin = F.when(c("q_len") <= c("r_len"), c("q_beg")).otherwise(c("r_beg"))
+    places = F.sequence(begin, begin + c("n") - 1)
+    hsps = rows.withColumn("align_pos", places).withColumn("match_pos", F.filter(places, lambda x: (x * 7 + c("salt")) % 3 != 0))
+
+    def side(letter, n_genomes, n_segs, length):
+        own = spark.range(n_genomes * n_segs).select(F.concat(F.lit(letter), F.expr(f"id div {n_segs}")).alias("genome"), (c("id") % n_segs).alias("seg_idx"))
+        own = own.withColumn("nuc_start", 300 * c("seg_idx")).withColumn("aa_len", length(c("seg_idx")))
+        genomes = own.groupBy("genome").agg((F.sum(12 * c("aa_len")) + 500).alias("nuc_length"), F.sum(9 * c("aa_len")).alias("coding_nuc"), (F.count("*") * 40 - 60).alias("n_orfs"))
+        return own, genomes
+
+    return hsps, side("q", 20, 12, lambda s: 60 + 7 * s), side("r", 15, 9, lambda s: 50 + 9 * s)
+
+
+def _made_scores(spark, sf_dir):
+    hsps, queries_, refs = _made_hsps(spark, sf_dir)
+    return scores.dist_result(settled(hsps, "hsps"), *queries_, replace(dist_params(PRESET), gene_scaled=2, min_aai=MADE_AAI, min_aligned=MADE_ALIGNED), refs)
+
+
+def a09_score_rows(spark, sf_dir):
+    """Distinct places, unions of intervals, coverages, rescaling, thresholds and composite, of made alignments."""
+    rows = _made_scores(spark, sf_dir)
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+def a01_orf_pair_hits(spark, sf_dir):
+    return scores.orf_pair_hits(_made_hsps(spark, sf_dir)[0]).withColumn("identity", F.round("identity", 9))
+
+
+def a12_counters(spark, sf_dir):
+    """Candidates of the three ways to pair genomes; those without seeds ask nothing."""
+    refs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("genome"))
+    able = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("genome"))
+    found = [joins.pair_count(able, refs, mode).select(F.lit(mode).alias("mode"), "n") for mode in ("cross", "ordered", "triangle")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def a11_dist(spark, sf_dir):
     return api.dist(protein_tables(spark, sf_dir), None, dist_params(PRESET))
 
@@ -282,6 +336,13 @@ def m09_containment(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("marker_excess", "marker_containment")})
 
 
+def m11_top_hits(spark, sf_dir):
+    """The last step of a search over made scores: candidates joined to their score rows, the first three by composite."""
+    grid = spark.range(20 * 15).selectExpr("concat('q', id div 15) AS q", "concat('r', id % 15) AS r", "id % 7 + 1 AS shared", "cast(id * 37 % 101 / 8 AS float) AS excess", "cast(id * 53 % 97 / 128 AS float) AS cont")
+    found = search.search_result(grid.where("(shared + length(r)) % 3 != 0"), _made_scores(spark, sf_dir), 3)
+    return found.select("query", "ref", "shared_markers", "marker_excess", "marker_containment", F.round("composite_score", 9).alias("composite_score"))
+
+
 def m11_search(spark, sf_dir):
     params = search_params("small-sensitive", top=3, exclude_self=True)
     return api.search_genomes(protein_tables(spark, sf_dir), None, dist_params("med-normal"), params)
@@ -300,6 +361,20 @@ def s13_printed_rows(spark, sf_dir):
     return sinks.printed(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"))
 
 
+def s13_dist_rows(spark, sf_dir):
+    return sinks.printed(_made_scores(spark, sf_dir))
+
+
+def s14_search_rows(spark, sf_dir):
+    """Search rows as printed: marker measures of very different sizes, and shares that lie between two printed values."""
+    x = (F.col("l_extendedprice") + 1 / 3) * F.pow(F.lit(10.0), (F.col("l_partkey") % 13 - 9).cast("double"))
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("ref"), F.col("l_suppkey").alias("shared_markers"), x.alias("marker_excess"), (F.col("l_orderkey") / 1024 - 2).alias("marker_containment"),
+        (F.col("l_partkey") / 640).alias("aai"),
+    )
+    return sinks.printed_search(rows)
+
+
 def w01_top_k(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
@@ -431,6 +506,48 @@ def _length_rounds(m: str, n: str, rel: str) -> str:
     return out
 
 
+_SITES = f"""{_MEASURED},
+around AS (SELECT genome, seg_idx, CASE WHEN rev THEN reverse(translate(substr(repeat('N', 80) || seq || repeat('N', 80), (start + 3 * aa_len + 21)::INT, 74), 'ACGT', 'TGCA'))
+  ELSE substr(repeat('N', 80) || seq || repeat('N', 80), (start + 67)::INT, 74) END AS win FROM sorted JOIN seqs USING (genome)),
+begun AS (SELECT genome, seg_idx, substr(win, (3 * c + 1)::INT, 14) AS up FROM (SELECT *, unnest(range(0, {SITE_SCAN})) AS c FROM around) WHERE substr(win, (3 * c + 15)::INT, 3) IN ('ATG', 'GTG', 'TTG')),
+matched AS (SELECT genome, seg_idx, d, {' || '.join(f"CASE WHEN substr(up, (15 - d + {k})::INT, 1) = '{b}' THEN '1' ELSE '0' END" for k, b in enumerate("AGGAGG"))} AS m FROM (SELECT *, unnest(range(6, 15)) AS d FROM begun)),
+best AS (SELECT genome, seg_idx, max(CASE {' '.join(f"WHEN contains(m, '{'1' * k}') THEN {k}" for k in range(6, 0, -1))} ELSE 0 END + (d BETWEEN 9 AND 15)::INT) AS site FROM matched GROUP BY ALL)"""
+_PLACES = "begin_at, begin_at + n"
+_MADE = f"""hsp0 AS (SELECT 'q' || (l_suppkey % 20) AS q, 'r' || (l_partkey % 15) AS r, l_orderkey % 12 AS q_seg, l_linenumber::BIGINT AS r_seg, l_quantity::INT % 40 AS q_beg, l_partkey % 10 + 10 AS n, l_orderkey % 100 AS salt FROM lineitem),
+hsp1 AS (SELECT *, 60 + 7 * q_seg AS q_len, 50 + 9 * r_seg AS r_len, q_beg % 20 AS r_beg FROM hsp0),
+hsp AS (SELECT *, list_filter(range({_PLACES}), lambda x: (x * 7 + salt) % 3 <> 0) AS match_pos, range({_PLACES}) AS align_pos FROM (SELECT *, CASE WHEN q_len <= r_len THEN q_beg ELSE r_beg END AS begin_at FROM hsp1)),
+pairhits AS (SELECT q, r, q_seg, r_seg, any_value(q_len) AS q_len, any_value(r_len) AS r_len, len(list_distinct(flatten(list(match_pos)))) AS matches, len(list_distinct(flatten(list(align_pos)))) AS aligned, count(*) AS n_hsps FROM hsp GROUP BY ALL),
+sums AS (SELECT q, r, sum(matches) AS matches, sum(least(q_len, r_len)) AS shorter, sum(aligned) AS aligned, count(*) AS pairs FROM pairhits WHERE matches > 0 GROUP BY ALL),
+nucq AS (SELECT q, r, count(DISTINCT p) AS nq FROM (SELECT q, r, unnest(range(300 * q_seg + 3 * q_beg, 300 * q_seg + 3 * (q_beg + n))) AS p FROM hsp) GROUP BY ALL),
+nucr AS (SELECT q, r, count(DISTINCT p) AS nr FROM (SELECT q, r, unnest(range(300 * r_seg + 3 * r_beg, 300 * r_seg + 3 * (r_beg + n))) AS p FROM hsp) GROUP BY ALL),
+aaq AS (SELECT q, r, sum(least(c, q_len)) / sum(q_len) AS oq FROM (SELECT q, r, q_seg, q_len, count(DISTINCT p) AS c FROM (SELECT q, r, q_seg, q_len, unnest(range(q_beg, q_beg + n)) AS p FROM hsp) GROUP BY ALL) GROUP BY ALL),
+aar AS (SELECT q, r, sum(least(c, r_len)) / sum(r_len) AS orr FROM (SELECT q, r, r_seg, r_len, count(DISTINCT p) AS c FROM (SELECT q, r, r_seg, r_len, unnest(range(r_beg, r_beg + n)) AS p FROM hsp) GROUP BY ALL) GROUP BY ALL),
+lens AS (SELECT (SELECT sum(3 * (60 + 7 * s)) FROM (SELECT unnest(range(0, 12)) AS s)) AS lq, (SELECT sum(3 * (50 + 9 * s)) FROM (SELECT unnest(range(0, 9)) AS s)) AS lr),
+made AS (SELECT q AS query, r AS ref, matches / shorter AS aai, least(1.0::DOUBLE, nq * 4.0::DOUBLE / (4 * lq + 500)) AS chaining_genome_coverage_q, least(1.0::DOUBLE, nr * 4.0::DOUBLE / (4 * lr + 500)) AS chaining_genome_coverage_r,
+  greatest(chaining_genome_coverage_q, chaining_genome_coverage_r) AS chaining_genome_coverage, oq AS avg_orf_chain_coverage_q, orr AS avg_orf_chain_coverage_r, greatest(oq, orr) AS avg_orf_chain_coverage,
+  sqrt(greatest(least(1.0::DOUBLE, nq * 4.0::DOUBLE / (3 * lq)), least(1.0::DOUBLE, nr * 4.0::DOUBLE / (3 * lr))) * (matches / shorter)) AS composite_score, (4 * pairs)::INT AS matched_orfs,
+  greatest(least(1.0::DOUBLE, 4.0::DOUBLE * pairs / 420), least(1.0::DOUBLE, 4.0::DOUBLE * pairs / 300)) AS orf_hit, (4 * lq + 500)::BIGINT AS query_len, (4 * lr + 500)::BIGINT AS ref_len
+  FROM sums JOIN nucq USING (q, r) JOIN nucr USING (q, r) JOIN aaq USING (q, r) JOIN aar USING (q, r), lens WHERE matches / shorter >= {MADE_AAI} AND aligned >= {MADE_ALIGNED})"""
+_RATIOS = [c for c in scores.COLUMNS if c not in ("query", "ref", "matched_orfs", "query_len", "ref_len")]
+
+
+def _mixed_sql(x: str) -> str:
+    """The finaliser as one expression over a UBIGINT expression."""
+    for k in (hashing.M1, hashing.M2):
+        x = f"((xor({x}, ({x}) >> 33)::UHUGEINT * {k}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"xor({x}, ({x}) >> 33)"
+
+
+def _subsample_sql(role: int, below: int) -> str:
+    """CTEs up to taken{role}(genome, seg_idx): ORFs whose hash is under a bound. Residues are packed at five bits, in words of 64."""
+    code = f"(instr('{RESIDUES}', substr(protein, (i + 1)::INT, 1)) - 1)::HUGEINT"
+    word = f"list_sum(list_transform(range(64 * j // 5, least(length(protein), (64 * j + 63) // 5 + 1)), lambda i: CASE WHEN 5 * i >= 64 * j THEN {code} << (5 * i - 64 * j)::INT ELSE {code} >> (64 * j - 5 * i)::INT END))"
+    name = f"list_reduce(list_prepend({hashing.FNV_BASIS}::UBIGINT, list_transform(string_split(genome, ''), lambda c: ascii(c)::UBIGINT)), lambda h, b: ((xor(h, b)::UHUGEINT * {hashing.FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
+    return f"""name{role} AS (SELECT genome, {_mixed_sql('f')} AS salt FROM (SELECT genome, xor({name}, {role}::UBIGINT) AS f FROM (SELECT DISTINCT genome FROM prot))),
+word{role} AS (SELECT genome, seg_idx, length(protein) AS n, list_transform(range(0, (length(protein) * 5 + 63) // 64), lambda j: ({word} % 18446744073709551616::HUGEINT)::UBIGINT) AS ws FROM prot),
+taken{role} AS (SELECT genome, seg_idx FROM (SELECT genome, seg_idx, list_reduce(list_prepend(xor(salt, n::UBIGINT), ws), lambda h, v: {_mixed_sql('xor(h, v)')}) AS h FROM word{role} JOIN name{role} USING (genome)) WHERE h < {below}::UBIGINT)"""
+
+
 _Z = {c: f"((n / (n + {SHRINK}.0)) * avg({c}) OVER v + (1 - n / (n + {SHRINK}.0)) * avg({c}) OVER w)" for c in ("d", "snr", "psi", "ln_len")}
 _S = {c: f"((n / (n + {SHRINK}.0)) * stddev_pop({c}) OVER v + (1 - n / (n + {SHRINK}.0)) * (stddev_pop({c}) OVER w + 1e-9) + 1e-9)" for c in ("d", "snr", "psi", "ln_len")}
 _ZS = {c: f"({c} - {_Z[c]}) / {_S[c]}" for c in _Z}
@@ -440,6 +557,21 @@ i AS (SELECT *, sum(CASE WHEN s > before THEN 1 ELSE 0 END) OVER (PARTITION BY k
 u AS (SELECT k, max(e) - min(s) AS n FROM i GROUP BY k, island)"""
 
 SQL = {
+    "g10_training_set": f"""WITH {_SITES}, f AS (SELECT genome, seg_idx, aa_len, coalesce(site, 0)::INT AS site, snr >= {SNR_TRAIN} AS per, snr >= {SNR_TRAIN} AND (psi >= {PSI_TRAIN} OR coalesce(site, 0) >= {SITE_MIN}) AS good FROM measured LEFT JOIN best USING (genome, seg_idx)),
+n AS (SELECT genome, count(*) FILTER (good AND aa_len >= 100) AS n100, count(*) FILTER (good AND aa_len >= 50) AS n50, count(*) FILTER (good AND aa_len >= 30) AS n30 FROM f GROUP BY genome),
+t AS (SELECT genome, (CASE WHEN n100 >= 30 THEN 100 WHEN n50 >= 30 THEN 50 ELSE 30 END)::INT AS min_train, CASE WHEN n100 >= 30 THEN n100 WHEN n50 >= 30 THEN n50 ELSE n30 END AS n_train FROM n)
+SELECT genome, seg_idx, site, min_train, n_train, good AND aa_len >= min_train AS train FROM f JOIN t USING (genome)""",
+    "d08_subsample": f"WITH {_LINES}, {_subsample_sql(0, hashing.sample_threshold(4))} SELECT genome, seg_idx FROM taken0",
+    "d08_orf_count": f"""WITH {_LINES}, {_subsample_sql(0, hashing.sample_threshold(3))}, {_subsample_sql(1, hashing.sample_threshold(3))}
+SELECT genome, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM (SELECT DISTINCT genome FROM prot) LEFT JOIN (SELECT genome, count(*) AS n0 FROM taken0 GROUP BY genome) USING (genome) LEFT JOIN (SELECT genome, count(*) AS n1 FROM taken1 GROUP BY genome) USING (genome)""",
+    "a01_orf_pair_hits": f"WITH {_MADE} SELECT q, r, q_seg, r_seg, q_len::INT AS q_len, r_len::INT AS r_len, matches, aligned, n_hsps, round(matches / least(q_len, r_len), 9) AS identity FROM pairhits",
+    "a09_score_rows": f"WITH {_MADE} SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in _RATIOS)}) FROM made",
+    "a12_counters": """WITH k AS (SELECT DISTINCT o_custkey::VARCHAR AS g FROM orders), c AS (SELECT c_custkey::VARCHAR AS g FROM customer)
+SELECT 'cross' AS mode, count(*) AS n FROM k, c UNION ALL SELECT 'ordered', count(*) FROM k JOIN c ON k.g <> c.g UNION ALL SELECT 'triangle', count(*) FROM k JOIN c ON k.g < c.g""",
+    "m11_top_hits": f"""WITH {_MADE}, grid AS (SELECT 'q' || (i // 15) AS query, 'r' || (i % 15) AS ref, i % 7 + 1 AS shared_markers, (i * 37 % 101 / 8)::FLOAT::DOUBLE AS marker_excess, (i * 53 % 97 / 128)::FLOAT::DOUBLE AS marker_containment FROM (SELECT unnest(range(0, 300)) AS i))
+SELECT query, ref, shared_markers, marker_excess, marker_containment, round(composite_score, 9) AS composite_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY composite_score DESC, ref) AS k FROM grid JOIN made USING (query, ref) WHERE (shared_markers + length(ref)) % 3 <> 0) WHERE k <= 3""",
+    "s13_dist_rows": f"WITH {_MADE} SELECT query, ref, {', '.join(f"printf('%.6f', {c}) AS {c}" for c in _RATIOS)}, matched_orfs::VARCHAR AS matched_orfs, query_len::VARCHAR AS query_len, ref_len::VARCHAR AS ref_len FROM made",
+    "s14_search_rows": "SELECT l_orderkey::VARCHAR AS query, l_linenumber::VARCHAR AS ref, l_suppkey::VARCHAR AS shared_markers, printf('%g', (l_extendedprice + 1 / 3) * power(10.0::DOUBLE, (l_partkey % 13 - 9)::DOUBLE)) AS marker_excess, printf('%g', l_orderkey / 1024 - 2) AS marker_containment, printf('%.6f', l_partkey / 640) AS aai FROM lineitem",
     "g01_encode": f"WITH {_SEQ} SELECT genome, md5(seq) AS digest, length(seq) AS length, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS n_{b.lower()}" for b in "ACGT") + " FROM seqs",
     "g02_orfs": f"WITH {_ORFS} SELECT genome, frame, start, aa_len FROM orfs",
     "g02h_run_lengths": f"WITH {_BREAKS} SELECT genome, least(len, 4096)::INT AS aa_len, count(*) AS n FROM runs WHERE closed GROUP BY ALL",

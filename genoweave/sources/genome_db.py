@@ -6,12 +6,14 @@ length); residues at five bits, each ORF padded to a byte.
 
 from __future__ import annotations
 
+import os
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from ..plans.schemas import parsed
+from ..plans.store import settled
 
 from ..operators.seeds import packed, unpacked
 
@@ -21,11 +23,8 @@ DECODED = parsed(
     "genome string, nuc_length bigint, coding_nuc bigint, contigs array<struct<contig:string,offset:bigint,length:bigint>>, "
     "orfs array<struct<frame:int,nuc_start:bigint,aa_len:int,protein:string>>"
 )
-_UNSAFE = str.maketrans(dict.fromkeys('/\\:*?"<>|', "_"))
-
-
-def safe_name(name: str) -> str:
-    return name.translate(_UNSAFE)
+#: Characters of a genome's name that become "_" in its file's.
+UNSAFE = r'[/\\:*?"<>|]'
 
 
 def encode(name: str, nuc_length: int, coding_nuc: int, contigs: list[tuple[str, int, int]], orfs: list[tuple[int, int, int, str]], magic: bytes = b"GENOWDB2") -> bytes:
@@ -102,6 +101,74 @@ def orfs_of(decoded: DataFrame) -> DataFrame:
     return rows.select("genome", F.col("seg_idx").cast("bigint").alias("seg_idx"), at.alias("contig_idx"), "o.frame", "o.nuc_start", "o.aa_len", "o.protein")
 
 
+FILES = parsed("genome string, path string, n_bytes bigint")
+
+
+def encoded_rows(genomes: DataFrame, contigs: DataFrame, orfs: DataFrame) -> DataFrame:
+    """genome, file (its safe name; names that become alike get a number), nuc_length, coding_nuc, contigs, orfs: a row a genome."""
+    at = contigs.groupBy("genome").agg(F.transform(F.array_sort(F.collect_list(F.struct("contig_idx", "contig", "offset", "length"))), lambda c: F.struct(c["contig"], c["offset"], c["length"])).alias("contigs"))
+    calls = orfs.groupBy("genome").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "frame", "nuc_start", "aa_len", "protein"))), lambda o: F.struct(o["frame"], o["nuc_start"], o["aa_len"], o["protein"])).alias("orfs"))
+    safe = F.regexp_replace("genome", UNSAFE, "_")
+    rows = genomes.select("genome", "nuc_length", "coding_nuc", safe.alias("safe")).join(at, "genome", "left").join(calls, "genome", "left")
+    alike = F.row_number().over(Window.partitionBy("safe").orderBy("genome"))
+    file = F.when(alike > 1, F.concat_ws("-", "safe", alike.cast("string"))).otherwise(F.col("safe"))
+    return rows.withColumn("file", file).select("genome", "file", "nuc_length", "coding_nuc", "contigs", "orfs")
+
+
+def write_binary(genomes: DataFrame, contigs: DataFrame, orfs: DataFrame, folder: str, extension: str = "gdb") -> DataFrame:
+    """One file a genome in the compact layout, in a folder all executors share; returns genome, path, n_bytes of what was written.
+
+    Executors write their own genomes aside and rename them, so that a repeated task replaces its files and none is ever seen in part.
+    """
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs as filesystems
+
+        where = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+        fs, root = filesystems.FileSystem.from_uri(where)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                cells = [tuple(c.values()) for c in row["contigs"] or []]
+                data = encode(row["genome"], row["nuc_length"], row["coding_nuc"], cells, [tuple(o.values()) for o in row["orfs"] or []])
+                path = f"{root.rstrip('/')}/{row['file']}.{extension}"
+                aside = f"{path}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as out:
+                    out.write(data)
+                fs.move(aside, path)
+                done.append((row["genome"], path, len(data)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=FILES.names)
+
+    return settled(encoded_rows(genomes, contigs, orfs).mapInArrow(run, FILES), "files")
+
+
+def require_folder(spark: SparkSession, path: str) -> str:
+    """path, or an exit with its name if no such folder is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        raise SystemExit(f"no such folder: {path}")
+    return path
+
+
+def listed(spark: SparkSession, path: str, extension: str = "gdb") -> list[str]:
+    """The binary databases of a folder, sorted by path; names only."""
+    require_folder(spark, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path)
+    return [r.path for r in files.select("path").orderBy("path").toLocalIterator()]
+
+
+def tables_of(decoded: DataFrame) -> dict[str, DataFrame]:
+    """genomes, contigs and orfs of read_binary's rows."""
+    places = decoded.select("genome", F.posexplode("contigs").alias("contig_idx", "c")).select("genome", "contig_idx", "c.contig", "c.length", "c.offset")
+    genomes = decoded.select("genome", "nuc_length", "coding_nuc", F.size("orfs").cast("bigint").alias("n_orfs"))
+    return {"genomes": genomes, "contigs": places, "orfs": orfs_of(decoded)}
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """genomes, contigs and orfs as Parquet, ORFs laid out by genome."""
     for name, df in tables.items():
@@ -110,4 +177,5 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    require_folder(spark, path)
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("genomes", "contigs", "orfs")}

@@ -26,7 +26,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, params:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         built = api.build(batch, params)
-        for name, table in vars(built).items():
+        for name, table in built.tables().items():
             table.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}/batch={batch_id}")
 
     return arriving_contigs(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
