@@ -48,13 +48,15 @@ def numbered(conversations: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n of the conversations that aren't a prefix of a longer one or equal to one of a lower conv_id."""
-    ends = turns.where("pos = n").select("conv_id", "n", "h1", "h2")
-    longer = turns.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
-    open_ends = ends.join(longer, ["n", "h1", "h2"], "left_anti")
+    """conv_id, n of the conversations that aren't a prefix of a longer one or equal to one of a lower conv_id.
+
+    Equal conversations, and equal prefixes, are combined before the anti-join, so that a very common one is a row a task there.
+    """
     # nulls rank first: whether there is one decides before the least id does
     least = F.min(F.struct(F.col("conv_id").isNotNull().alias("named"), "conv_id")).alias("first")
-    return open_ends.groupBy("n", "h1", "h2").agg(least, F.count("*").alias("n_equal")).select("first.conv_id", "n", "n_equal")
+    ends = turns.where("pos = n").groupBy("n", "h1", "h2").agg(least, F.count("*").alias("n_equal"))
+    longer = turns.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
+    return ends.join(longer, ["n", "h1", "h2"], "left_anti").select("first.conv_id", "n", "n_equal")
 
 
 def chat_texts(conversations: DataFrame) -> DataFrame:
