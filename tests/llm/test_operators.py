@@ -684,3 +684,35 @@ def test_pipeline(spark, tmp_path):
     mixed = Counter(r.doc_id for r in seen[3].collect())
     assert sum(r.size for r in final.collect()) == sum(len(WORD.findall(r.text)) for r in seen[3].collect())
     assert set(mixed) == {r.doc_id for r in final.collect()}
+
+
+@pytest.mark.parametrize("case", ["odd", "empty", "unlabelled"])
+def test_pipeline_of_odd_rows(spark, tmp_path, case):
+    """Null, empty, blank, very long and repeated rows, null ids, clashing columns; empty tables; labels that say nothing."""
+    import corpus_pipeline
+
+    rows = {"odd": odd_rows() + corpus(40, seed=4), "empty": [], "unlabelled": odd_rows()}[case]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(r[0], 1, 0) for r in rows if r[0] is not None] + [(None, 1, 0), (3, None, None), (3, 0, 0)] if case == "odd" else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, seen[-1], str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        seen.append(spark.read.parquet(str(tmp_path / f"s{k}")))
+        assert seen[-1].columns == docs.columns
+    texts = [[(r.doc_id, r.text) for r in x.select("doc_id", "text").collect()] for x in seen]
+    folded = lambda many: Counter((t or "").translate(FOLD) for _, t in many)
+    if case != "odd":
+        # without labels there is no reason to reject anything
+        assert Counter(texts[1]) == Counter(texts[0])
+    assert set(texts[1]) <= set(texts[0])
+    assert folded(texts[2]) == dict.fromkeys(folded(texts[1]), 1) and not Counter(texts[2]) - Counter(texts[1])
+    blank = lambda many: {t for _, t in many if not WORD.search(t or "")}
+    assert blank(texts[3]) == blank(texts[2]) and not Counter(texts[3]) - Counter(texts[2])
+    # near copies: the two long texts are one component, all others here are told apart by plain sets
+    worded = [(k, t, None, None, 0) for k, (_, t) in enumerate(texts[2]) if WORD.search(t or "")]
+    assert len(texts[3]) == len(blank(texts[2])) + len(set(plain_components(plain_sets(worded, 5), 80).values()))
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.size for r in final) == sum(len(WORD.findall(t or "")) for _, t in texts[4])
+    assert {r.doc_id for r in final} == {i for i, _ in texts[4]}
