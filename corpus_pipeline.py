@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality classifier, exact dedup, near dedup, source mix, packing. Each stage reads what the one before it kept."""
+"""Corpus pipeline: quality classifier, exact dedup, near dedup, source mix, packing. Each stage reads what the one before it kept.
+
+Defined results: without usable labels the classifier rejects nothing; null and empty texts are equal texts, of which one row stays until
+the mix, which takes no document without words; rows are told apart by doc_id and text, so that null and repeated doc_ids lose
+none; very long texts are whole throughout and fill bins of their own; further columns, whatever their names, are kept up to the packing;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
