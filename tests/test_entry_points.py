@@ -38,11 +38,3 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     genomes = spark.read.parquet(str(tmp_path / "tables/genomes"))
     assert {r.genome for r in genomes.collect()} == {"one", "two"} and genomes.first().n_orfs > 0
-
-
-def test_bench_times_all_training_data_queries():
-    import bench
-    import __spark_entry__ as entry
-    from genoweave.llm import queries as llm_queries
-
-    assert {*llm_queries.queries(), "pipeline"} <= set(bench.chosen(entry.queries()))
