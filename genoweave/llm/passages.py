@@ -35,6 +35,8 @@ BROADCAST_ROWS = 100_000
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 ROWS = 50_000
+#: Texts that are sent to a kernel at once: those with repeated anchors are long, and come with their lists of anchors.
+TEXTS = 500
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 def repeated_runs(source: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, h, runs (start, end): what to remove from source's rows (doc_id, h, text) besides lines (doc_id, h, places)."""
-    found = materialize(_emitted(source, [T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())], _own_anchors), "anchors")
+    found = materialize(_emitted(source, [T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())], _own_anchors), "anchors", TEXTS)
     repeated = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors-repeated")
     held = join_repeated(found.select("doc_id", "h", "anchor"), repeated, ["anchor"]).groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("further"))
     # rows are written in order: their numbers rank documents by doc_id, null first, then h
@@ -175,7 +177,7 @@ def repeated_runs(source: DataFrame, lines: DataFrame) -> DataFrame:
     some = _by_document(source, held.select("doc_id", "h"), "left_semi", few) if few else source
     rows = _by_document(some, held, "inner").select(F.col("rank").alias("doc_id"), "h", "text", "further", "places")
     fields = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("d0", T.LongType()), T.StructField("d1", T.LongType())]
-    placed = materialize(_emitted(rows, fields, _own_runs).drop("h").withColumnRenamed("doc_id", "rank"), "runs")
+    placed = materialize(_emitted(rows, fields, _own_runs).drop("h").withColumnRenamed("doc_id", "rank"), "runs", TEXTS)
     tidy(source.sparkSession)
     kept = materialize(placed.groupBy("d0", "d1").agg(F.min(F.struct("rank", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1"), "runs-kept")
     tidy(source.sparkSession)

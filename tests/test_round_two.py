@@ -6,6 +6,8 @@ import numpy as np
 
 from genoweave.functions import sequence
 from genoweave.functions.constants import CODON_SHARE
+from genoweave.llm import passages
+from genoweave.plans import store
 
 
 def test_measures_are_summed_in_turn():
@@ -27,3 +29,25 @@ def test_measures_are_summed_in_turn():
             own += base * math.log((base + 0.5) / (n + 2))
         assert sequence.snr(codes) == 1.5 * spread / (n * chance)
         assert sequence.composition_score(codes) == (known - own) / n
+
+
+def test_long_texts_are_sent_in_small_batches(spark, monkeypatch):
+    """op6's kernels hold few texts at once; the session's own batch size is back afterwards."""
+    usual = spark.conf.get(store.BATCH)
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    out = store.settled(spark.range(2000, numPartitions=1).mapInArrow(kernel, "n long"), "sizes", passages.TEXTS)
+    sizes = [r.n for r in out.collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= passages.TEXTS
+    assert spark.conf.get(store.BATCH) == usual
+    asked = {}
+    monkeypatch.setattr(passages, "materialize", lambda df, tag, batch_rows=None: asked.update({tag: batch_rows}) or store.settled(df, tag, batch_rows))
+    text = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, text), (2, "other start " + text)], "doc_id bigint, text string")
+    assert {r.doc_id: r.removed_chars for r in passages.without_passages(docs).collect()} == {1: 0, 2: len(text)}
+    assert asked["anchors"] == asked["runs"] == passages.TEXTS
