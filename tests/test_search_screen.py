@@ -80,6 +80,25 @@ def test_marker_hashes_are_those_of_the_masked_seeds(spark):
     rng = np.random.default_rng(3)
     rows = [("a", i, "".join(rng.choice(list("ACDE"), 90))) for i in range(12)] + [("b", 0, "ACDEFGHIKL" * 9), ("c", 0, "")]
     orfs = spark.createDataFrame(rows, "genome string, seg_idx bigint, protein string")
-    for shape, cut in (("4:0,1,3,4", 0), ("4:0,1,3,4", 3), ("3:0,1,2;0,2,3", 0)):
+    for shape, cut in (("4:0,1,3,4", 0), ("4:0,1,3,4", 3), ("4:0,1,2,3;0,1,3,4", 0)):
         own = seeds.marker_hashes(orfs, shape, 1, cut)
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, search.markers(seeds.extract_seeds(orfs, shape, 1, cut)).collect())) != []
+
+
+def test_comparison_of_chosen_pairs_reads_no_other_genome(spark):
+    from genoweave.plans import api
+    from genoweave.plans.presets import dist_params
+
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("ARNDCQEGHILKMFPSTWYV"), 120)) for _ in range(3)]
+    rows = [(g, i, 0, 0, 360 * i, 120, p) for g in "abcd" for i, p in enumerate(base)]
+    orfs = spark.createDataFrame(rows, "genome string, seg_idx bigint, contig_idx int, frame int, nuc_start bigint, aa_len int, protein string")
+    genomes = spark.createDataFrame([(g, 1080, 1080, 3) for g in "abcd"], "genome string, nuc_length bigint, coding_nuc bigint, n_orfs bigint")
+    every = api.GenomeTables(genomes, genomes.select("genome"), orfs)
+    chosen = spark.createDataFrame([("a", "b"), ("a", "c")], "q string, r string")
+    params = dist_params(None, shape="4:0,1,3,4", scaled=1)
+    for queries, own in ((every, {"a", "b", "c"}), (api.limited(every, genomes.where("genome = 'a'").select("genome")), {"a"})):
+        found = api.compared(queries, every, params, "cross", chosen)
+        assert {r.genome for r in found["seeds"].select("genome").distinct().collect()} == own
+        got = {(r["query"], r.ref): (r.aai, r.matched_orfs) for r in found["dist"].collect()}
+        assert got == {("a", "b"): (1.0, 3), ("a", "c"): (1.0, 3)}
