@@ -7,7 +7,8 @@ from math import sqrt
 import numpy as np
 import pytest
 
-from genoweave.operators import cells, joins
+from genoweave.operators import cells, chain, joins
+from genoweave.plans import api
 from genoweave.plans.presets import DistParams
 
 SEEDS = "genome string, hash32 bigint, seg_idx bigint, aa_pos int, n_occ bigint, occ int"
@@ -93,3 +94,38 @@ def test_nothing_that_grows_with_the_pairs_is_shuffled(spark):
         assert "Join" not in plan.replace("BroadcastHashJoin", "").replace("BroadcastNestedLoopJoin", "") and "Aggregate" not in plan
     empty = own.where("false")
     assert cells.shared_counts(empty, empty, "triangle").count() == 0
+
+
+@pytest.mark.parametrize("together", [0, 24])
+def test_chains_of_chunks_equal_chains_of_rows(spark, tiny, monkeypatch, together):
+    """Many ORF pairs are chained together, long ones apart; a row holds the same chains as one of anchors' rows."""
+    monkeypatch.setattr(chain, "TOGETHER", together)
+    own, params = frame(spark, made(11)), DistParams(max_pair_matches=0)
+    want = chain.chains(joins.anchors(own, own, "triangle", params), params).collect()
+    got = chain.paired_chains(own, own, "triangle", params)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 100
+    short = chain.paired_chains(own, own, "triangle", params, anchors=False)
+    assert short.columns == got.columns[:-1] and sorted(map(str, short.collect())) == sorted(map(str, got.drop("anchors").collect()))
+
+
+def test_many_chains_at_once():
+    rng = np.random.default_rng(1)
+    for n, reach in ((2, 50), (3, 2), (9, 4), (20, 50)):
+        q = np.sort(rng.integers(0, 60, (40, n)), axis=1)
+        r, w = rng.integers(0, 60, (40, n)), rng.random((40, n)).astype(np.float32)
+        row, score, size, path = chain.best_chains_of_many(q, r, w, reach, 25, 30, 2)
+        end, got = np.cumsum(size), defaultdict(list)
+        for k in range(len(row)):
+            got[int(row[k])].append((float(score[k]), path[end[k] - size[k] : end[k]].tolist()))
+        for k in range(40):
+            assert sorted(got[k], key=lambda x: (-x[0], x[1][0])) == chain.best_chains(q[k], r[k], w[k], reach, 25, 30, 2)
+
+
+def test_covered_chains_of_chunks_equal_those_of_rows(spark, tiny):
+    own, params = frame(spark, made(13)), DistParams(max_pair_matches=0, min_orf_cov=0.4)
+    orfs = own.select("genome", "seg_idx").distinct().selectExpr("*", "cast(40 + 3 * seg_idx + length(genome) as int) AS aa_len")
+    want = chain.covered(chain.chains(joins.anchors(own, own, "triangle", params), params), orfs, params)
+    got = api.covered_chains(own, own, orfs, orfs, "triangle", params)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and 0 < want.count() < chain.paired_chains(own, own, "triangle", params).count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
