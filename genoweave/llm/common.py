@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import settled as materialize
+from ..plans.store import tidy as tidy
 
 #: A word is a maximal run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,12 +24,6 @@ def join_repeated(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return settled.unionByName(rest)
 
 
-def tidy(spark: SparkSession) -> None:
-    """In long jobs: let the driver drop what no DataFrame refers to any more, with its shuffle files, broadcasts and plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold_az(text: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII text takes the byte-wise lower(), which is the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
