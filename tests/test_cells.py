@@ -131,6 +131,26 @@ def test_covered_chains_of_chunks_equal_those_of_rows(spark, tiny):
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_chains_of_best_orf_pairs_are_chosen_in_the_kernel(spark, tiny, share):
+    """All covered chains were rows once, written and shuffled for the choice of ORF pairs that are each other's best."""
+    own, params = frame(spark, made(17)), DistParams(max_pair_matches=0, min_orf_cov=share)
+    orfs = own.select("genome", "seg_idx").distinct().selectExpr("*", "cast(40 + 3 * seg_idx + length(genome) as int) AS aa_len")
+    every = chain.covered(chain.chains(joins.anchors(own, own, "triangle", params), params), orfs, params)
+    want = every.join(api.best_pairs(every, params), chain.PAIR, "left_semi")
+    got = api.covered_chains(own, own, orfs, orfs, "triangle", params, best=True)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and 0 < want.count() < every.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_best_orf_pairs_with_ties():
+    ref, q, r = np.array([0, 0, 0, 0, 1, 1]), np.array([1, 1, 2, 2, 1, 2]), np.array([5, 6, 5, 6, 5, 5])
+    assert chain.mutual_best(ref, q, r, np.array([3, 3, 3, 3, 1, 2], np.float32)).tolist() == [True, False, False, False, False, True]
+    assert chain.mutual_best(ref, q, r, np.array([3, 4, 3, 1, 2, 2], np.float32)).tolist() == [False, True, False, False, True, False]
+    assert not len(chain.mutual_best(*np.zeros((4, 0))))
+
+
 def test_gene_calling_reads_letters_for_lengths_once(spark, monkeypatch):
     """Windows' and stop rates' lengths come from a written table, not from the contigs' letters."""
     rng = np.random.default_rng(2)
