@@ -117,3 +117,12 @@ def test_genomes_without_training_frames_are_not_dealt(spark, monkeypatch):
     rows = {r.genome: r.d for r in coding.scored(found, df.unionByName(plain)).groupBy("genome").agg({"d": "max"}).withColumnRenamed("max(d)", "d").collect()}
     dealt = {r.genome for r in seen[0].select("genome").distinct().collect()}
     assert rows["plain"] == 0 and "plain" not in dealt and dealt and all(rows[g] != 0 for g in dealt)
+
+
+def test_driver_gives_back_native_memory_as_tables_are_written(spark, monkeypatch):
+    """The pipeline's many small plans left the driver's JVM with freed memory that it held."""
+    asked, real = [], store.trimmed
+    monkeypatch.setattr(store, "trimmed", lambda s: asked.append(real(s)))
+    for _ in range(2 * store.TRIM_EVERY):
+        store.settled(spark.range(3), "few")
+    assert len(asked) == 2 and all(isinstance(x, str) for x in asked)
