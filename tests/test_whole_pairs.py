@@ -9,6 +9,7 @@ import pytest
 from test_cells import frame, made
 
 import __spark_entry__ as contract
+from genoweave import queries
 from genoweave.operators import cells
 
 
@@ -31,12 +32,12 @@ def plain(queries, refs, mode, least):
 def test_best_pairs_of_all_anchors_equal_plain_loops(spark, monkeypatch, mode, table):
     for name, value in (("CHUNK_SEEDS", 30), ("CHUNK_GENOMES", 3), ("HELD", 16), ("ROWS", 7), ("TABLE", table)):
         monkeypatch.setattr(cells, name, value)
-    queries = made(23)
-    refs = made(29) if mode == "cross" else queries
-    own = frame(spark, queries)
+    own_seeds = made(23)
+    refs = made(29) if mode == "cross" else own_seeds
+    own = frame(spark, own_seeds)
     other = frame(spark, refs) if mode == "cross" else own
     for least in (2, 60):
-        want = plain(queries, refs, mode, least)
+        want = plain(own_seeds, refs, mode, least)
         assert sorted(map(tuple, cells.best_of_all_anchors(own, other, mode, least).collect())) == want and want
 
 
@@ -53,3 +54,17 @@ def test_j05_counts_every_anchor(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet'")
     assert got == sorted(duck.execute(contract.oracle_sql()["j05_reciprocal_best"]).fetchall())
     assert sum(x[4] for x in got if x[:2] == ("0", "1")) > 100
+
+
+@pytest.mark.parametrize(("name", "columns"), [("j01_shared_hashes", ()), ("j03_pair_budgets", ("n",)), ("j02_anchors", ("pos",)), ("j05_reciprocal_best", ("seg",))])
+def test_seeds_are_dealt_once_and_chunks_hold_what_is_read(spark, monkeypatch, name, columns):
+    """Seeds were written and shuffled twice once, and every chunk held places that j01 and j03 don't read."""
+    written, write = [], cells.settled
+    monkeypatch.setattr(cells, "settled", lambda df, tag: written.append((tag, df)) or write(df, tag))
+    monkeypatch.setattr(queries, "settled", lambda df, tag: pytest.fail(f"{tag} are written"))
+    contract.queries()[name](spark, "/root/testdata/sf0.001")
+    ((tag, rows),) = written
+    assert tag == "chunks" and rows._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+    for x in rows.collect():
+        side = cells.Side(x.names, bytes(x.data), columns)
+        assert len(side.hash) and all(hasattr(side, c) == (c in columns) for c in cells.EVERY)
