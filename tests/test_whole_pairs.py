@@ -68,3 +68,8 @@ def test_seeds_are_dealt_once_and_chunks_hold_what_is_read(spark, monkeypatch, n
     for x in rows.collect():
         side = cells.Side(x.names, bytes(x.data), columns)
         assert len(side.hash) and all(hasattr(side, c) == (c in columns) for c in cells.EVERY)
+
+
+def test_c02_writes_no_seeds(spark, monkeypatch):
+    monkeypatch.setattr(queries, "settled", lambda df, tag: pytest.fail(f"{tag} are written"))
+    assert contract.queries()["c02_chains"](spark, "/root/testdata/sf0.001").count()
